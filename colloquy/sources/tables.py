@@ -133,3 +133,106 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("quality") * 2.0 - 1.0).alias("label_score"),
         )
     )
+
+
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a long conversation per user, whose messages arrive up to four
+    hours late; views are the agent's side."""
+    ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
+    delay = F.col("event_id") * 7919 % 5 * 3_600_000_000 + F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("m-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("message_id"),
+        F.concat(F.lit("c-"), F.col("user_id")).alias("conversation_id"),
+        F.concat(F.lit("customer-"), F.col("user_id") % 40).alias("customer_id"),
+        F.when(F.col("event_type") == "view", "agent").otherwise("customer").alias("role"),
+        F.concat_ws(" ", "event_type", "props").alias("text"),
+        F.timestamp_micros(ts_us).alias("sent_at"),
+        F.timestamp_micros(ts_us + delay).alias("received_at"),
+    )
+
+
+EVENT_MESSAGES_SQL = """
+emsg AS (
+  SELECT 'm-' || lpad(event_id::VARCHAR, 12, '0') AS message_id, 'c-' || user_id AS conversation_id,
+         'customer-' || (user_id % 40) AS customer_id,
+         CASE WHEN event_type = 'view' THEN 'agent' ELSE 'customer' END AS role,
+         event_type || ' ' || props AS text, epoch_us(ts) AS sent_us,
+         epoch_us(ts) + event_id * 7919 % 5 * 3600000000 + event_id AS recv_us
+  FROM events)"""
+
+
+def event_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as scored examples: a level as label, the value as prediction
+    outside and inside [-1, 1], event type as persona, 0..3 context messages."""
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        e.cast("string").alias("example_id"),
+        F.col("user_id").cast("string").alias("customer_id"),
+        F.col("event_type").alias("persona"),
+        ((e % 5 - 2) / 2.0).alias("label_score"),
+        ((e % 5 - 2) / 4.0 + F.col("value") / 40 - 0.5).alias("prediction"),
+        F.array_repeat(F.lit("x"), (e % 4).cast("int")).alias("context_clean"),
+        F.concat(F.lit("mood-2024.0"), e % 2 + 1, F.lit("."), e % 6).alias("model_version"),
+    )
+
+
+EVENT_PREDICTIONS_SQL = """
+pred AS (
+  SELECT event_id::VARCHAR AS example_id, user_id::VARCHAR AS customer_id, event_type AS persona,
+         (event_id % 5 - 2) / 2.0::DOUBLE AS label_score,
+         greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (event_id % 5 - 2) / 4.0::DOUBLE + value / 40 - 0.5::DOUBLE)) AS prediction,
+         event_id % 4 AS context_size,
+         'mood-2024.0' || (event_id % 2 + 1) || '.' || (event_id % 6) AS model_version
+  FROM events)"""
+
+# Corpus lines in an SQL both engines read, with broken lines mixed in by line
+# number. Needs columns n (line number), conv_id, turn, role, text.
+_SAFE_TEXT = (
+    "substr(translate(text, chr(34) || chr(92) || chr(10) || chr(13) || chr(9) || chr(8) || chr(12), '       '), 1,"
+    " CASE WHEN n % 41 = 0 THEN 1100 ELSE 900 END)"
+)
+CORPUS_LINE_SQL = f"""
+CASE
+  WHEN n % 37 = 1 THEN '{{"corpus_id": "corpus-a", '
+  WHEN n % 37 = 2 THEN '[1]'
+  WHEN n % 37 = 3 THEN '{{"corpus_id": "corpus-a", "role": "customer"}}'
+  WHEN n % 37 = 4 THEN '   '
+  ELSE '{{"corpus_id": "' || CASE WHEN n % 37 = 5 THEN 'corpus-b' ELSE 'corpus-a' END
+    || '", "conversation_id": "syn-c' || conv_id
+    || '", "customer_id": "syn-u' || CASE WHEN n % 37 = 6 THEN 999 ELSE conv_id % 40 END
+    || '", "message_id": "' || CASE WHEN n % 37 = 7 THEN 'msg' ELSE 'syn-m' END
+    || CASE WHEN n % 37 = 8 THEN n - 2 ELSE n END
+    || '", "role": "' || CASE WHEN n % 37 = 9 THEN 'bot' WHEN role = 'user' THEN 'customer' ELSE 'agent' END
+    || '", "text": ' || CASE WHEN n % 37 = 10 THEN '" "' WHEN n % 37 = 11 THEN '17'
+                             ELSE '"' || {_SAFE_TEXT} || '"' END
+    || ', "sent_at": "2024-01-' || CASE WHEN n % 37 = 12 THEN '' ELSE lpad(CAST(conv_id % 28 + 1 AS VARCHAR(9)), 2, '0') END
+    || 'T00:' || lpad(CAST(CASE WHEN n % 37 = 13 THEN 0 WHEN n % 37 = 14 THEN 59 - turn ELSE turn END AS VARCHAR(9)), 2, '0') || ':00Z'
+    || '", "persona": "' || CASE WHEN n % 37 = 15 THEN 'Bad Case' WHEN n % 37 = 16 THEN 'persona_z'
+                                 ELSE 'persona_' || substr('abcde', CAST(conv_id % 40 % 5 + 1 AS INT), 1) END
+    || '", ' || CASE WHEN n % 37 = 17 THEN '"extra": 1, ' ELSE '' END || '"generated_label": '
+    || CASE WHEN n % 37 = 18 THEN '"high"' WHEN n % 37 = 19 THEN '0.25' WHEN n % 37 = 20 THEN '1'
+            WHEN role <> 'user' THEN 'null'
+            WHEN (conv_id * 3 + turn) % 5 = 0 THEN '-1.0' WHEN (conv_id * 3 + turn) % 5 = 1 THEN '-0.5'
+            WHEN (conv_id * 3 + turn) % 5 = 2 THEN '0' WHEN (conv_id * 3 + turn) % 5 = 3 THEN '0.5' ELSE '1.0' END
+    || '}}'
+END"""
+
+
+def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(corpus, line_no, value): the conversations as corpus lines."""
+    from colloquy.operators.skew import with_position
+
+    turns = table(spark, sf_dir, "conversations").filter(F.col("role") != "system")
+    numbered = with_position(
+        turns.withColumn("_at", F.col("conv_id") * 1_000_000 + F.col("turn")), [], ["_at"], "n"
+    )
+    return numbered.select(
+        F.lit("corpus-a").alias("corpus"), F.col("n").alias("line_no"), F.expr(CORPUS_LINE_SQL).alias("value")
+    )
+
+
+CORPUS_LINES_SQL = f"""
+numbered AS (
+  SELECT row_number() OVER (ORDER BY conv_id, turn) AS n, conv_id, turn, role, text
+  FROM conversations WHERE role <> 'system'),
+line AS (SELECT n AS line_no, {CORPUS_LINE_SQL} AS value FROM numbered)"""
