@@ -208,3 +208,16 @@ def replay_quarantine(outcomes: DataFrame, rows: int | None = None) -> DataFrame
         "outcome",
         F.when(blocked, "quarantined").when(F.col("kind") == "score", "scored").otherwise(F.col("error_code")),
     ).drop("_first")
+
+
+def timeline(scores: DataFrame, failures: DataFrame) -> DataFrame:
+    """Scores and failures as one outcome stream."""
+    good = scores.select(
+        F.col("mood_id").alias("id"), "conversation_id", F.lit("score").alias("kind"),
+        F.unix_micros("persisted_at").alias("at_us"), "score",
+    )
+    bad = failures.select(
+        F.col("failure_id").alias("id"), "conversation_id", F.lit("failure").alias("kind"),
+        F.unix_micros("occurred_at").alias("at_us"), "error_code",
+    )
+    return good.unionByName(bad, allowMissingColumns=True)

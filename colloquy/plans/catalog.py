@@ -2,6 +2,8 @@
 
 from colloquy.plans import (  # noqa: F401
     rule_queries,
+    state_queries,
     text_queries,
+    validation_queries,
 )
 from colloquy.plans.registry import ORACLES, QUERIES  # noqa: F401
