@@ -1,6 +1,9 @@
 """All registered queries."""
 
 from colloquy.plans import (  # noqa: F401
+    dataset_queries,
+    lineage_queries,
+    metric_queries,
     rule_queries,
     state_queries,
     text_queries,
