@@ -2,6 +2,7 @@
 
 from colloquy.plans import (  # noqa: F401
     dataset_queries,
+    feature_queries,
     lineage_queries,
     metric_queries,
     rule_queries,

@@ -15,14 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_of(table(spark, sf_dir, "conversations"))
+
+
+def messages_of(conversations: DataFrame) -> DataFrame:
     """Conversation turns as messages; one hour between conversations, a minute
-    between turns, and an arrival delay that lets some turns overtake others."""
+    between turns, and an arrival delay that lets some turns overtake others.
+    Row-local, so it reads a stream as well."""
     conv, turn = F.col("conv_id"), F.col("turn")
     sent = F.lit(EPOCH) + conv * 3600 + turn * 60
     delay = (conv * 7 + turn * 13) % 5 * 60 + turn
     return (
-        table(spark, sf_dir, "conversations")
-        .filter(F.col("role") != "system")
+        conversations.filter(F.col("role") != "system")
         .select(
             F.concat(F.lit("m-"), conv, F.lit("-"), turn).alias("message_id"),
             F.concat(F.lit("c-"), conv).alias("conversation_id"),
@@ -51,10 +55,14 @@ msg AS (
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes_of(table(spark, sf_dir, "events"))
+
+
+def outcomes_of(events: DataFrame) -> DataFrame:
     """Scoring outcomes from the event stream: an error is a failure, any other
     event a score. `seq` is the event id, which breaks ties in time."""
     kind = F.when(F.col("event_type") == "error", "failure").otherwise("score")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("c-"), F.col("user_id")).alias("conversation_id"),
         F.concat(F.lit("customer-"), F.col("user_id") % 40).alias("customer_id"),
         F.col("event_id").alias("seq"),
@@ -83,10 +91,14 @@ outcome AS (
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores_of(outcomes(spark, sf_dir))
+
+
+def scores_of(outcomes_: DataFrame) -> DataFrame:
     """Successful outcomes as score records; stored one to three seconds after
     they were computed, computed times cut to the minute so that some tie."""
     at = F.col("at_us")
-    return outcomes(spark, sf_dir).filter("kind = 'score'").select(
+    return outcomes_.filter("kind = 'score'").select(
         F.concat(F.lit("s-"), F.col("seq")).alias("mood_id"),
         F.concat(F.lit("t-"), F.col("seq")).alias("trigger_message_id"),
         "customer_id", "conversation_id", "score", F.lit("-1 to 1").alias("scale"), "model_version",
@@ -121,7 +133,7 @@ failure_rec AS (
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a quality label as regression examples: score -1 or 1,
-    persona = language, group = source."""
+    persona = language, group = source, context = the language's name."""
     return (
         table(spark, sf_dir, "documents")
         .join(table(spark, sf_dir, "labels"), "doc_id")
@@ -136,11 +148,15 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_messages_of(table(spark, sf_dir, "events"))
+
+
+def event_messages_of(events: DataFrame) -> DataFrame:
     """Events as a long conversation per user, whose messages arrive up to four
     hours late; views are the agent's side."""
     ts_us = F.unix_micros(F.col("ts").cast("timestamp"))
     delay = F.col("event_id") * 7919 % 5 * 3_600_000_000 + F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("m-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("message_id"),
         F.concat(F.lit("c-"), F.col("user_id")).alias("conversation_id"),
         F.concat(F.lit("customer-"), F.col("user_id") % 40).alias("customer_id"),
