@@ -7,6 +7,7 @@ from colloquy.plans import (  # noqa: F401
     metric_queries,
     rule_queries,
     state_queries,
+    stream_queries,
     text_queries,
     validation_queries,
 )

@@ -1,0 +1,151 @@
+"""Keyed state for message streams. The state of a conversation has a fixed size:
+an owner, a failure count, or at most 29 messages. There is no time-to-live,
+since messages of any lateness are accepted.
+
+A micro-batch may hold several rows of a key in any order; they are put in
+arrival order first. What a key can bring at once is bounded by the source's
+limit per trigger (`maxFilesPerTrigger`, `maxBytesPerTrigger`)."""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from colloquy.functions.scalars import HISTORY_WINDOW
+from colloquy.operators.online import QUARANTINE_AFTER
+
+ADMITTED = T.StructType(
+    [
+        T.StructField("conversation_id", T.StringType()),
+        T.StructField("message_id", T.StringType()),
+        T.StructField("status", T.IntegerType()),
+    ]
+)
+HISTORIES = T.StructType(
+    [
+        T.StructField("conversation_id", T.StringType()),
+        T.StructField("message_id", T.StringType()),
+        T.StructField("history_ids", T.ArrayType(T.StringType())),
+        T.StructField("history_texts", T.ArrayType(T.StringType())),
+    ]
+)
+OUTCOMES = T.StructType(
+    [
+        T.StructField("conversation_id", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("outcome", T.StringType()),
+    ]
+)
+
+
+def _in_order(rows: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    return pd.concat(list(rows), ignore_index=True).sort_values(columns, ignore_index=True)
+
+
+class Admission(StatefulProcessor):
+    """Owner of each conversation; columns arrived_us, message_id, customer_id,
+    role, reject (null when the message passes its own checks)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.owner = handle.getValueState("owner", "customer_id string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.owner.get()
+        owner = known[0] if known is not None else None
+        batch = _in_order(rows, ["arrived_us", "message_id"])
+        statuses = []
+        for customer, role, reject in zip(batch["customer_id"], batch["role"], batch["reject"], strict=True):
+            if not pd.isna(reject):
+                statuses.append(int(reject))
+            elif owner is None and role == "agent":
+                statuses.append(422)
+            elif owner is not None and customer != owner:
+                statuses.append(400)
+            else:
+                if owner is None:
+                    owner = customer
+                    self.owner.update((owner,))
+                statuses.append(200)
+        yield pd.DataFrame(
+            {
+                "conversation_id": key[0],
+                "message_id": batch["message_id"],
+                "status": pd.array(statuses, dtype="int32"),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+class Histories(StatefulProcessor):
+    """Newest 29 customer messages of each conversation; columns arrived_us,
+    sent_us, message_id, text."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState(
+            "kept", "sent_us bigint, arrived_us bigint, message_id string, text string"
+        )
+
+    def handleInputRows(self, key, rows, timerValues):
+        heap = [tuple(entry) for entry in self.kept.get()]
+        heapq.heapify(heap)
+        ids, history_ids, history_texts = [], [], []
+        batch = _in_order(rows, ["arrived_us", "message_id"])
+        for arrived, sent, message, text in zip(
+            batch["arrived_us"], batch["sent_us"], batch["message_id"], batch["text"], strict=True
+        ):
+            earlier = sorted(heap)
+            ids.append(message)
+            history_ids.append([*(e[2] for e in earlier), message])
+            history_texts.append([*(e[3] for e in earlier), text])
+            entry = (int(sent), int(arrived), message, text)
+            if len(heap) < HISTORY_WINDOW - 1:
+                heapq.heappush(heap, entry)
+            else:
+                heapq.heappushpop(heap, entry)
+        self.kept.put(heap)
+        yield pd.DataFrame(
+            {
+                "conversation_id": [key[0]] * len(ids),
+                "message_id": ids,
+                "history_ids": history_ids,
+                "history_texts": history_texts,
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+class Quarantine(StatefulProcessor):
+    """Failures since the last success, and whether the conversation is blocked
+    for good; columns at_us, seq, kind, error_code."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.streak = handle.getValueState("streak", "failures int, blocked boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.streak.get()
+        failures, blocked = (int(known[0]), bool(known[1])) if known is not None else (0, False)
+        batch = _in_order(rows, ["at_us", "seq"])
+        outcomes = []
+        for kind, code in zip(batch["kind"], batch["error_code"], strict=True):
+            if blocked:
+                outcomes.append("quarantined")
+                continue
+            outcomes.append("scored" if kind == "score" else code)
+            if kind == "score":
+                failures = 0
+            elif code != "quarantined":
+                failures += 1
+            blocked = failures >= QUARANTINE_AFTER
+        self.streak.update((failures, blocked))
+        yield pd.DataFrame({"conversation_id": key[0], "seq": batch["seq"], "outcome": outcomes})
+
+    def close(self) -> None:
+        pass
