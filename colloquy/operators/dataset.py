@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import MAX_HISTORY, split_history, with_prepared
 from colloquy.operators.skew import lookup_join, trailing, with_position
+from colloquy.session import materialize
 
 SPLITS = ("train", "validation", "test")
 
@@ -72,7 +73,8 @@ def split_assignment(
     rounded up first and the test share of it second."""
     if abs(train + validation + test - 1.0) > 1e-9:
         raise ValueError("split ratios must add up to 1")
-    keys = groups.select(key).distinct()
+    # the distinct keys are read by every step below
+    keys = materialize(groups.select(key).distinct(), "split-keys")
     hashed = keys.withColumn("_order", F.md5(F.concat(F.col(key), F.lit(f"-{seed}"))))
     placed = with_position(hashed, [], ["_order", key], "_position")
     total = keys.agg(F.count(F.lit(1))).scalar()

@@ -23,7 +23,7 @@ def read_stream(
     folder: str,
     schema: T.StructType,
     pattern: str | None = None,
-    bytes_per_trigger: str = "512m",
+    bytes_per_trigger: int = 512 << 20,
     files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Parquet files of a folder as a stream, those whose name fits `pattern`.
