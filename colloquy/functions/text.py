@@ -79,14 +79,26 @@ def mask(text: Column) -> Column:
     return text
 
 
-def count_personal(text: Column) -> dict[str, Column]:
-    """Occurrences by kind; each pass counts in the text the passes before left."""
-    counts: dict[str, Column] = {}
-    for kind, pattern, marker in PASSES:
-        found = F.regexp_count(text, F.lit(pattern))
-        counts[kind] = counts[kind] + found if kind in counts else found
-        text = F.regexp_replace(text, pattern, marker)
-    return counts
+def with_personal_counts(df: DataFrame, column: str) -> DataFrame:
+    """Columns `email`, `cpf` and `phone`: occurrences by kind. Each pass counts
+    in the text the passes before left, which is a column of its own so that it
+    is made once."""
+    kinds = list(dict.fromkeys(kind for kind, _, _ in PASSES))
+    df = df.withColumn("_text_0", F.col(column))
+    for i, (_, pattern, marker) in enumerate(PASSES):
+        text = F.col(f"_text_{i}")
+        df = df.withColumns(
+            {
+                f"_found_{i}": F.regexp_count(text, F.lit(pattern)).cast("long"),
+                f"_text_{i + 1}": F.regexp_replace(text, pattern, marker),
+            }
+        )
+    totals = {
+        kind: sum((F.col(f"_found_{i}") for i, p in enumerate(PASSES) if p[0] == kind), F.lit(0).cast("long"))
+        for kind in kinds
+    }
+    steps = [f"_found_{i}" for i in range(len(PASSES))] + [f"_text_{i}" for i in range(len(PASSES) + 1)]
+    return df.withColumns(totals).drop(*steps)
 
 
 def join_context(context: Column) -> Column:

@@ -30,12 +30,15 @@ SALTS = 256
 SAMPLES_PER_CUT = 8
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], rows: int | None = None, sizes: DataFrame | None = None
+) -> DataFrame:
     """Keys with more than `rows` rows, largest first, at most MAX_HOT_KEYS."""
     limit = rows or hot_rows(df.sparkSession)
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        sizes.select(*keys, "_n")
         .filter(F.col("_n") > limit)
         .orderBy(F.desc("_n"), *keys)
         .limit(MAX_HOT_KEYS)
@@ -48,14 +51,16 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "left",
     rows: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """`left.join(right, keys, how)` with the hot keys of `left` salted.
+    """`left.join(right, keys, how)` with the hot keys of `left` salted. `sizes`
+    (keys and their row count `_n` in `left`) saves counting where it is known.
 
     `right` is expected to hold few rows per key (a lookup table); only its rows
     for hot keys are copied, once per salt. Null keys never match, so their rows
     are spread too."""
     keys = list(keys)
-    hot = hot_keys(left, keys, rows).select(*keys, F.lit(True).alias("_hot"))
+    hot = hot_keys(left, keys, rows, sizes).select(*keys, F.lit(True).alias("_hot"))
     null_key = F.lit(False)
     for key in keys:
         null_key = null_key | F.col(key).isNull()

@@ -11,7 +11,7 @@ from colloquy.plans import features, regression, vectors
 from colloquy.plans.dataset_queries import _examples
 from colloquy.plans.registry import query
 from colloquy.plans.text_queries import _FEATURES, WS
-from colloquy.session import materialize
+from colloquy.session import materialize, spread
 from colloquy.sources.tables import labelled_documents, table
 
 WORD_TERMS = """list_concat(toks, [toks[i] || ' ' || toks[i + 1] for i in range(1, len(toks))])"""
@@ -46,14 +46,16 @@ def _summary(weights):
 def _weights(examples, counts, scale=1.0):
     counts = materialize(counts, "term-counts")
     n = examples.agg(F.count(F.lit(1))).scalar()
-    return features.weigh(counts, features.inverse_frequencies(counts, n), scale)
+    idf = materialize(features.inverse_frequencies(counts, n), "idf")
+    return features.weigh(counts, idf, scale)
 
 
 _DOC_TOKENS = "SELECT doc_id::VARCHAR AS example_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS toks FROM documents"
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("example_id"), F.col("text").alias("text_clean"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("example_id"), F.col("text").alias("text_clean"))
+    return spread(docs)
 
 
 @query("tfidf_words", _tfidf_sql(_DOC_TOKENS, WORD_TERMS, "WITH") + _SUMMARY)
@@ -109,7 +111,7 @@ def ridge_one_feature(spark, sf):
 
 
 def _document_examples(spark, sf):
-    docs = with_prepared(labelled_documents(spark, sf), "text", "text_clean").drop("text")
+    docs = with_prepared(spread(labelled_documents(spark, sf)), "text", "text_clean").drop("text")
     return docs.withColumn("context_clean", F.array("persona"))
 
 
@@ -128,7 +130,7 @@ def score_documents(spark, sf):
     """Score records of all documents from a model fitted on the labelled ones."""
     train = materialize(_document_examples(spark, sf), "documents")
     model = regression.fit(train, width=1 << 15, max_iter=30)
-    every = with_prepared(table(spark, sf, "documents"), "text", "text_clean").select(
+    every = with_prepared(spread(table(spark, sf, "documents")), "text", "text_clean").select(
         F.col("doc_id").cast("string").alias("example_id"), "text_clean", F.array("lang").alias("context_clean")
     )
     at = F.lit("2024-02-01 00:00:00").cast("timestamp")

@@ -7,7 +7,7 @@ example is salted when its idf is joined.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import char_ngrams, join_context, word_ngrams, words
@@ -50,11 +50,14 @@ def weigh(
     counts: DataFrame, idf: DataFrame, scale: float = 1.0, rows: int | None = None
 ) -> DataFrame:
     """(example_id, term, weight): tf x idf with length one per example, then
-    scaled. Terms the idf table does not know are left out."""
-    weighted = lookup_join(counts, idf.select("term", "idf"), ["term"], "inner", rows).select(
+    scaled. Terms the idf table does not know are left out.
+
+    The document frequency of a term is its number of rows, so the terms to salt
+    are known. The norm needs the rows of one example together; there are no more
+    of them than its text has n-grams."""
+    sizes = idf.select("term", F.col("df").alias("_n"))
+    weighted = lookup_join(counts, idf.select("term", "idf"), ["term"], "inner", rows, sizes).select(
         "example_id", "term", (F.col("tf") * F.col("idf")).alias("_w")
     )
-    norms = weighted.groupBy("example_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return lookup_join(weighted, norms, ["example_id"], "inner", rows).select(
-        "example_id", "term", (F.lit(scale) * F.col("_w") / F.col("_norm")).alias("weight")
-    )
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("example_id")))
+    return weighted.select("example_id", "term", (F.lit(scale) * F.col("_w") / norm).alias("weight"))

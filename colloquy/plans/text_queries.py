@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as t
 from colloquy.operators import dataset
 from colloquy.plans.registry import query
+from colloquy.session import spread
 from colloquy.sources.tables import (
     EVENT_MESSAGES_SQL,
     MESSAGES_SQL,
@@ -63,22 +64,21 @@ COUNT_SQL = _count_sql("text")
     f"WITH {clean_sql('documents', 'doc_id')} SELECT doc_id, length(cleaned)::INT AS n_chars, md5(cleaned) AS digest FROM cleaned",
 )
 def clean_text(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     cleaned = t.with_clean(docs, "text", "cleaned")
     return cleaned.select("doc_id", F.length("cleaned").alias("n_chars"), F.md5("cleaned").alias("digest"))
 
 
 @query("mask_text", f"SELECT doc_id, md5({mask_sql('text')}) AS digest FROM documents")
 def mask_text(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.md5(t.mask(F.col("text"))).alias("digest"))
 
 
 @query("count_personal", f"SELECT doc_id, {COUNT_SQL} FROM documents")
 def count_personal(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = t.count_personal(F.col("text"))
-    return docs.select("doc_id", *[c.cast("long").alias(k) for k, c in found.items()])
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return t.with_personal_counts(docs, "text").drop("text")
 
 
 @query(
@@ -86,7 +86,8 @@ def count_personal(spark, sf):
     f"SELECT count(*) AS n, count(*) FILTER (WHERE {mask_sql(mask_sql('text'))} <> {mask_sql('text')}) AS changed FROM documents",
 )
 def mask_idempotent(spark, sf):
-    once = table(spark, sf, "documents").select(t.mask(F.col("text")).alias("once"))
+    docs = spread(table(spark, sf, "documents").select("text"))
+    once = docs.select(t.mask(F.col("text")).alias("once"))
     twice = once.withColumn("twice", t.mask(F.col("once")))
     return twice.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("once") != F.col("twice")).alias("changed")

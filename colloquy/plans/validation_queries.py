@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import validation as v
 from colloquy.plans.registry import query
 from colloquy.plans.text_queries import COUNT_SQL
-from colloquy.session import new_path
+from colloquy.session import new_path, spread
 from colloquy.sources import corpus
 from colloquy.sources.tables import (
     CORPUS_LINES_SQL,
@@ -157,7 +157,7 @@ def mood_variation(spark, sf):
     round(count(*) FILTER (WHERE cpf + phone + email > 0) / count(*), 9) AS ratio FROM d""",
 )
 def personal_data(spark, sf):
-    docs = table(spark, sf, "documents").select("text", F.lit("customer").alias("role"))
+    docs = spread(table(spark, sf, "documents").select("text")).withColumn("role", F.lit("customer"))
     return v.personal_data(docs).withColumn("ratio", F.round("ratio", 9))
 
 
