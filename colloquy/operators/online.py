@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.scalars import HISTORY_WINDOW
 from colloquy.operators.skew import lookup_join, running, with_segments
+from colloquy.session import materialize
 
 QUARANTINE_AFTER = 3
 
@@ -160,54 +161,48 @@ def _counted() -> Column:
     return (F.col("kind") == "failure") & ~F.coalesce(F.col("error_code") == "quarantined", F.lit(False))
 
 
-def failure_streaks(outcomes: DataFrame, rows: int | None = None) -> DataFrame:
-    """`failures`: failures since the conversation's last success, this outcome
-    included. Quarantine records themselves do not count. Order: (`at_us`, `seq`).
+_KEYS, _ORDER = ["conversation_id"], ["at_us", "seq"]
+
+
+def _segmented(outcomes: DataFrame, rows: int | None) -> DataFrame:
+    # each running value below reads the segments again, so they are written once
+    return materialize(with_segments(outcomes, _KEYS, "at_us", rows), "outcome-segments")
 
-    Failures so far minus failures so far at the last success: two running
+
+def _streaks(segmented: DataFrame, inclusive: bool, out: str) -> DataFrame:
+    """Failures so far minus failures so far at the last success: two running
     values, so no conversation has to fit into one task."""
-    keys, order = ["conversation_id"], ["at_us", "seq"]
-    seg = with_segments(outcomes, keys, "at_us", rows)
-    total = running(seg, keys, order, {"_failed": ("sum", _counted().cast("long"))})
+    total = running(segmented, _KEYS, _ORDER, {"_failed": ("sum", _counted().cast("long"))}, inclusive)
     reset = F.when(F.col("kind") == "score", F.col("_failed"))
-    at_success = running(total, keys, order, {"_reset": ("max", reset)})
-    return at_success.withColumn(
-        "failures", F.col("_failed") - F.coalesce("_reset", F.lit(0))
-    ).drop("_failed", "_reset", "_seg", "_split")
+    at_success = running(total, _KEYS, _ORDER, {"_reset": ("max", reset)}, inclusive)
+    return at_success.withColumn(out, F.col("_failed") - F.coalesce("_reset", F.lit(0))).drop("_failed", "_reset")
+
+
+def failure_streaks(outcomes: DataFrame, rows: int | None = None) -> DataFrame:
+    """`failures`: failures since the conversation's last success, this outcome
+    included. Quarantine records themselves do not count. Order: (`at_us`, `seq`)."""
+    return _streaks(_segmented(outcomes, rows), True, "failures").drop("_seg", "_split")
 
 
 def quarantine_state(outcomes: DataFrame, rows: int | None = None) -> DataFrame:
     """What the gate saw before each outcome: `failures_before` since the last
     success, and whether that blocks the call."""
-    keys, order = ["conversation_id"], ["at_us", "seq"]
-    seg = with_segments(outcomes, keys, "at_us", rows)
-    total = running(seg, keys, order, {"_failed": ("sum", _counted().cast("long"))}, inclusive=False)
-    reset = F.when(F.col("kind") == "score", F.col("_failed"))
-    at_success = running(total, keys, order, {"_reset": ("max", reset)}, inclusive=False)
-    return (
-        at_success.withColumn("failures_before", F.col("_failed") - F.coalesce("_reset", F.lit(0)))
-        .withColumn("blocked", F.col("failures_before") >= QUARANTINE_AFTER)
-        .drop("_failed", "_reset", "_seg", "_split")
-    )
+    before = _streaks(_segmented(outcomes, rows), False, "failures_before").drop("_seg", "_split")
+    return before.withColumn("blocked", F.col("failures_before") >= QUARANTINE_AFTER)
 
 
 def replay_quarantine(outcomes: DataFrame, rows: int | None = None) -> DataFrame:
     """`outcome` of each row when a conversation is quarantined after its third
     failure in a row: everything later becomes `quarantined`, for good."""
-    keys, order = ["conversation_id"], ["at_us", "seq"]
-    streaks = failure_streaks(outcomes, rows)
-    reached = F.struct(*order)
-    first = (
-        streaks.filter(F.col("failures") >= QUARANTINE_AFTER)
-        .groupBy(*keys)
-        .agg(F.min(reached).alias("_first"))
-    )
-    joined = lookup_join(streaks, first, keys, "left", rows)
-    blocked = F.col("_first").isNotNull() & (reached > F.col("_first"))
-    return joined.withColumn(
+    streaks = _streaks(_segmented(outcomes, rows), True, "failures")
+    reached = (F.col("failures") >= QUARANTINE_AFTER).cast("int")
+    earlier = running(streaks, _KEYS, _ORDER, {"_reached": ("max", reached)}, inclusive=False)
+    return earlier.withColumn(
         "outcome",
-        F.when(blocked, "quarantined").when(F.col("kind") == "score", "scored").otherwise(F.col("error_code")),
-    ).drop("_first")
+        F.when(F.col("_reached") == 1, "quarantined")
+        .when(F.col("kind") == "score", "scored")
+        .otherwise(F.col("error_code")),
+    ).drop("_reached", "_seg", "_split")
 
 
 def timeline(scores: DataFrame, failures: DataFrame) -> DataFrame:

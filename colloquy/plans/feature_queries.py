@@ -97,7 +97,7 @@ def tfidf_context(spark, sf):
 @query(
     "ridge_one_feature",
     """WITH m AS (SELECT avg(value) AS mx, avg((event_id % 5 - 2) / 2.0::DOUBLE + value / 100) AS my FROM events),
-    f AS (SELECT sum((value - mx) * ((event_id % 5 - 2) / 2.0::DOUBLE + value / 100 - my)) / (sum((value - mx) * (value - mx)) + 1000.0) AS w FROM events, m)
+    f AS (SELECT sum((value - mx) * ((event_id % 5 - 2) / 2.0::DOUBLE + value / 100 - my)) / (sum((value - mx) * (value - mx)) + 1000000.0) AS w FROM events, m)
     SELECT round(w, 6) AS coefficient, round(my - w * mx, 5) AS intercept FROM f, m""",
 )
 def ridge_one_feature(spark, sf):
@@ -105,7 +105,7 @@ def ridge_one_feature(spark, sf):
         array_to_vector(F.array("value")).alias("features"),
         ((F.col("event_id") % 5 - 2) / 2.0 + F.col("value") / 100).alias("label_score"),
     )
-    model = regression.ridge(rows, 1000.0)
+    model = regression.ridge(rows, 1_000_000.0)
     fitted = spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "coefficient double, intercept double")
     return fitted.select(F.round("coefficient", 6).alias("coefficient"), F.round("intercept", 5).alias("intercept"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import dataset, metrics
 from colloquy.plans.dataset_queries import split_sql
 from colloquy.plans.registry import query
+from colloquy.session import materialize
 from colloquy.sources.tables import EVENT_PREDICTIONS_SQL, event_predictions, table
 
 _PRED = f"WITH {EVENT_PREDICTIONS_SQL}"
@@ -73,7 +74,7 @@ g AS (SELECT avg({_ERR}) AS c, avg(abs(label_score - m)) AS b FROM placed, mean
 
 
 def _splits(spark, sf):
-    placed = dataset.grouped_split(event_predictions(spark, sf))
+    placed = materialize(dataset.grouped_split(event_predictions(spark, sf)), "split")
     return placed.filter("split = 'train'"), placed.filter("split = 'test'")
 
 

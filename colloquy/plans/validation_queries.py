@@ -253,19 +253,56 @@ def load_corpus(spark, sf):
     )
 
 
-@query("path_policy", "SELECT 1::BIGINT AS accepted, 1::BIGINT AS outside, 0::BIGINT AS has_mark FROM conversations LIMIT 1")
+@query(
+    "path_policy",
+    "SELECT count(*) AS n_lines, 1::BIGINT AS accepted, 1::BIGINT AS outside, 1::BIGINT AS missing FROM conversations",
+)
 def path_policy(spark, sf):
+    """Folders of written lines, one where corpora belong and one elsewhere, and a
+    path that is not there."""
     base = new_path(spark, "policy")
-    texts = table(spark, sf, "conversations").select("conv_id", F.to_json(F.struct("conv_id", "turn", "text")).alias("value"))
+    lines = table(spark, sf, "conversations").select(F.to_json(F.struct("conv_id", "turn", "text")).alias("value"))
+    written = None
     for folder in ("raw/synthetic", "raw/other"):
-        texts.select("value").write.text(f"{base}/{folder}")
-    marks = [corpus.byte_order_marks(spark, f"{base}/{folder}") for folder in ("raw/synthetic", "raw/other")]
-    found = marks[0].unionAll(marks[1])
-    # folder level: the written part files end in .txt, the policy wants .jsonl
-    named = found.withColumn("path", F.regexp_replace("path", r"\.txt$", ".jsonl"))
-    coded = corpus.path_errors(named).join(named.select("path", "has_bom"), "path")
-    return coded.agg(
-        F.count_distinct(F.when(F.col("code").isNull(), F.regexp_extract("path", "(.*)/", 1))).alias("accepted"),
-        F.count_distinct(F.when(F.col("code") == "IG_R02_PATH_OUTSIDE_SYNTHETIC", F.regexp_extract("path", "(.*)/", 1))).alias("outside"),
-        F.count_if("has_bom").alias("has_mark"),
+        lines.write.text(f"{base}/{folder}")
+        found = corpus.files(spark, f"{base}/{folder}")
+        written = found if written is None else written.unionAll(found)
+    gone = written.limit(1).select(F.concat("path", F.lit(".jsonl")).alias("path"))
+    inspected = corpus.inspect_files(written.unionAll(gone))
+    # Spark names its text files .txt, the policy wants .jsonl
+    named = inspected.withColumn("path", F.regexp_replace("path", r"\.txt$", ".jsonl"))
+    folder = F.regexp_extract("path", "(.*)/", 1)
+    n = spark.read.text(f"{base}/raw/synthetic").agg(F.count(F.lit(1))).scalar()
+
+    def folders(condition):
+        return F.count_distinct(F.when(condition, folder))
+
+    return corpus.path_errors(named).agg(
+        folders(F.col("code").isNull()).alias("accepted"),
+        folders(F.col("code") == "IG_R02_PATH_OUTSIDE_SYNTHETIC").alias("outside"),
+        F.count_if(F.col("code") == "IG_R01_FILE_NOT_FOUND").alias("missing"),
+    ).withColumn("n_lines", n)
+
+
+@query(
+    "encoding_check",
+    """SELECT count(*) AS n_lines, count(*) FILTER (WHERE conv_id % 9 = 4) AS invalid, true AS first_lines_found,
+    true AS stops_there FROM conversations""",
+)
+def encoding_check(spark, sf):
+    """Lines that are not UTF-8 among the written ones: the first of each file is
+    reported, and the lines ahead of it are kept."""
+    path = new_path(spark, "encoding")
+    one_line = F.regexp_replace("text", "[\\n\\r]", " ")
+    bad = F.concat(F.unhex(F.lit("FF")), F.to_binary(one_line, F.lit("utf-8"))).cast("string")
+    value = F.when(F.col("conv_id") % 9 == 4, bad).otherwise(one_line)
+    table(spark, sf, "conversations").select(value.alias("value")).write.text(path)
+    lines = corpus.scan_lines(spark, path)
+    errors = corpus.encoding_errors(lines, corpus.inspect_files(corpus.files(spark, path)))
+    kept = corpus.readable_lines(lines, errors)
+    counts = lines.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.is_valid_utf8("value")).alias("invalid"))
+    reported = errors.agg(F.count(F.lit(1))).scalar()
+    faulty = lines.filter(~F.is_valid_utf8("value")).agg(F.count_distinct("path")).scalar()
+    return counts.withColumn("first_lines_found", reported == faulty).withColumn(
+        "stops_there", kept.agg(F.count_if(~F.is_valid_utf8("value"))).scalar() == 0
     )

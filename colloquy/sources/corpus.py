@@ -67,33 +67,36 @@ def write_canonical(messages: DataFrame, path: str) -> None:
     ).write.text(path)
 
 
-def _first_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
-        starts = []
+        found, sizes, marks = [], [], []
         for path in batch["path"]:
             # Spark prints local paths with one slash
-            uri = "file://" + path[len("file:") :] if path.startswith("file:/") and not path.startswith("file://") else path
-            source, name = fs.FileSystem.from_uri(uri)
-            with source.open_input_stream(name) as stream:
-                starts.append(stream.read(3) == b"\xef\xbb\xbf")
-        yield batch.assign(has_bom=starts)
+            local = path.startswith("file:/") and not path.startswith("file://")
+            source, name = fs.FileSystem.from_uri("file://" + path[len("file:") :] if local else path)
+            info = source.get_file_info(name)
+            found.append(info.type == fs.FileType.File)
+            sizes.append(info.size or 0)
+            start = b""
+            if found[-1]:
+                with source.open_input_stream(name) as stream:
+                    start = stream.read(3)
+            marks.append(start == b"\xef\xbb\xbf")
+        yield pd.DataFrame({"path": batch["path"], "found": found, "size": sizes, "has_bom": marks})
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size) of the files, without their content."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select("path", F.col("length").alias("size"))
-    )
+    """Paths of the files that hold anything; their content is not read."""
+    return spark.read.format("binaryFile").load(path).select("path")
 
 
-def byte_order_marks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, has_bom); three bytes of each file are read. Text scans drop
-    the mark, so it cannot be seen in the lines."""
-    return files(spark, path).mapInPandas(_first_bytes, "path string, size long, has_bom boolean")
+def inspect_files(paths: DataFrame) -> DataFrame:
+    """(path, found, size, has_bom) of the given paths; three bytes of each file
+    are read. Text scans drop a byte order mark, and listings leave empty files
+    out, so neither can be seen there."""
+    return paths.select("path").mapInPandas(_inspect, "path string, found boolean, size long, has_bom boolean")
 
 
 def encoding_errors(lines: DataFrame, marks: DataFrame) -> DataFrame:
@@ -127,11 +130,12 @@ def readable_lines(lines: DataFrame, encoding: DataFrame) -> DataFrame:
     )
 
 
-def path_errors(file_table: DataFrame) -> DataFrame:
+def path_errors(inspected: DataFrame) -> DataFrame:
     """Why a file cannot be a corpus, or null; `corpus` is the expected id."""
     code = (
         F.when(~F.col("path").endswith(".jsonl"), "IG_R01_NOT_READABLE")
+        .when(~F.col("found"), "IG_R01_FILE_NOT_FOUND")
         .when(F.col("size") == 0, "IG_R01_EMPTY_FILE")
         .when(~F.col("path").rlike(r"/raw/synthetic/[^/]+$"), "IG_R02_PATH_OUTSIDE_SYNTHETIC")
     )
-    return file_table.select("path", _stem(F.col("path")).alias("corpus"), "size", code.alias("code"))
+    return inspected.select("path", _stem(F.col("path")).alias("corpus"), "size", code.alias("code"))
