@@ -75,17 +75,17 @@ def transcripts(messages: DataFrame, page_size: int = 500, rows: int | None = No
 def inbox(messages: DataFrame, scores: DataFrame, limit: int | None = None) -> DataFrame:
     """Conversations, newest message first, with their own current mood or null.
     With `limit` Spark keeps a top-k instead of a full sort."""
-    mood = conversation_mood(scores).select("conversation_id", "customer_id", "score", "scale")
+    mood = conversation_mood(scores).select("conversation_id", "score", "scale")
     rows = (
         conversations(messages)
         .select("conversation_id", "customer_id", "last_message_at")
-        .join(mood.drop("customer_id"), "conversation_id", "left")
+        .join(mood, "conversation_id", "left")
         .orderBy(F.desc("last_message_at"), "conversation_id")
     )
     return rows.limit(limit) if limit is not None else rows
 
 
-def shown_mood(conversations_: DataFrame, scores: DataFrame, rows: int | None = None) -> DataFrame:
+def shown_mood(conversations_: DataFrame, scores: DataFrame) -> DataFrame:
     """The customer's current mood on the one conversation it belongs to; null,
     not neutral, on the others."""
     mood = customer_mood(scores).select("customer_id", "conversation_id", "score", "scale")

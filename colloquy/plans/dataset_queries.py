@@ -6,10 +6,20 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import join_context
 from colloquy.operators import dataset, labels
+from colloquy.operators.validation import check
+from colloquy.plans import offline
 from colloquy.plans.registry import query
 from colloquy.plans.text_queries import _FEATURES
+from colloquy.plans.validation_queries import CHECK_SQL
 from colloquy.session import materialize, new_path
-from colloquy.sources.tables import EVENT_PREDICTIONS_SQL, MESSAGES_SQL, event_predictions, messages, table
+from colloquy.sources.tables import (
+    EVENT_PREDICTIONS_SQL,
+    MESSAGES_SQL,
+    corpus_lines,
+    event_predictions,
+    messages,
+    table,
+)
 
 
 def corpus_messages(spark, sf):
@@ -177,3 +187,24 @@ def cycled_histories(spark, sf):
     pool = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("example_id"), F.col("text").alias("text_clean"))
     rows = dataset.cycled_histories(pool)
     return rows.select("row", F.md5("text_clean").alias("trigger"), F.md5(F.array_join("context_clean", "|")).alias("context"))
+
+
+@query(
+    "dataset_from_corpus",
+    f"""WITH {CHECK_SQL}, cust AS (SELECT *, count(*) OVER (PARTITION BY conversation_id ORDER BY sent_at, message_id
+        ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING) AS before FROM ok WHERE role = 'customer'),
+    {split_sql('cust', 'customer_id')}
+    SELECT split, count(*) AS n_rows, count(DISTINCT customer_id) AS customers, sum(before)::BIGINT AS context_messages,
+      sum(label) AS label_sum FROM cust JOIN assigned USING (customer_id) GROUP BY 1""",
+)
+def dataset_from_corpus(spark, sf):
+    """Corpus lines to split examples: only lines without an error get that far."""
+    survivors = check(corpus_lines(spark, sf)).survivors
+    placed = offline.build_examples(survivors)
+    offline.require_sound(placed, survivors)
+    return placed.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("customer_id").alias("customers"),
+        F.sum(F.size("context_clean")).alias("context_messages"),
+        F.sum("label_score").alias("label_sum"),
+    )

@@ -141,7 +141,7 @@ def score_documents(spark, sf):
 @query(
     "mean_pooling",
     """WITH f AS (SELECT label, vec_id % 3 AS m, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings)
-    SELECT label, d::INT AS dim, round(sum(CASE WHEN m <> 0 THEN v::DOUBLE ELSE 0 END) / greatest(sum((m <> 0)::INT), 1e-9), 6) AS mean
+    SELECT label, d::INT AS dim, round(sum(CASE WHEN m <> 0 THEN v::DOUBLE ELSE 0 END) / greatest(sum((m <> 0)::INT), 1e-9), 6) + 0.0 AS mean
     FROM f GROUP BY 1, 2""",
 )
 def mean_pooling(spark, sf):
@@ -164,7 +164,7 @@ _CONTEXT_SQL = """WITH e AS (SELECT vec_id, vec_id // 10 AS conversation, unnest
 c AS (SELECT vec_id, d, v, coalesce(avg(v) OVER (PARTITION BY conversation, d ORDER BY vec_id ROWS BETWEEN 29 PRECEDING AND 1 PRECEDING), 0) AS ctx FROM e)"""
 
 
-@query("context_vectors", _CONTEXT_SQL + " SELECT vec_id, d::INT AS dim, round(ctx, 6) AS context FROM c")
+@query("context_vectors", _CONTEXT_SQL + " SELECT vec_id, d::INT AS dim, round(ctx, 6) + 0.0 AS context FROM c")
 def context_vectors(spark, sf):
     rows, _ = _with_context(spark, sf)
     return rows.select("vec_id", F.posexplode("context").alias("dim", "context")).select(
@@ -181,7 +181,7 @@ def _vector_features(spark, sf):
 @query(
     "linear_head",
     _CONTEXT_SQL
-    + """ SELECT vec_id, round(sum(v * ((d - 1) % 7 - 3) / 10.0 + 0.5 * ctx * ((d - 1 + (SELECT max(d) FROM c)) % 7 - 3) / 10.0) + 0.25, 5) AS score
+    + """ SELECT vec_id, round(sum(v * ((d - 1) % 7 - 3) / 10.0 + 0.5 * ctx * ((d - 1 + (SELECT max(d) FROM c)) % 7 - 3) / 10.0) + 0.25, 5) + 0.0 AS score
     FROM c GROUP BY 1""",
 )
 def linear_head(spark, sf):
