@@ -97,7 +97,7 @@ def response_error(outcome: Column, status: Column, body: Column) -> Column:
         parsed["score"].isNotNull()
         & parsed["scale"].isNotNull()
         & parsed["model_version"].isNotNull()
-        & parsed["computed_at"].isNotNull()
+        & F.try_to_timestamp(parsed["computed_at"]).isNotNull()
     )
     return (
         F.when(outcome == "timeout", F.lit("timeout"))

@@ -228,7 +228,8 @@ def trailing(
     out: str,
     rows: int | None = None,
 ) -> DataFrame:
-    """`value` of the last `size` rows up to and including each row, as an array.
+    """`value` of the last `size` rows up to and including each row, as an array
+    that keeps nulls.
 
     For split keys the last `size - 1` rows before a segment are copied into it,
     so its first rows see their full frame; the copies are dropped afterwards."""
@@ -262,8 +263,9 @@ def trailing(
     return (
         segmented.select(*columns, "_seg", F.lit(False).alias("_copy"))
         .unionByName(copies)
-        .withColumn(out, F.collect_list(value).over(frame))
+        .withColumn(out, F.collect_list(F.struct(value.alias("_v"))).over(frame))
         .filter(~F.col("_copy"))
+        .withColumn(out, F.col(out)["_v"])
         .drop("_seg", "_copy")
     )
 
@@ -273,7 +275,5 @@ def previous(
     rows: int | None = None,
 ) -> DataFrame:
     """`lag(value)` inside each key."""
-    pair = trailing(df, keys, order, 2, F.struct(F.col(value).alias("v")), "_pair", rows)
-    return pair.withColumn(
-        out, F.when(F.size("_pair") == 2, F.element_at("_pair", 1)["v"])
-    ).drop("_pair")
+    pair = trailing(df, keys, order, 2, F.col(value), "_pair", rows)
+    return pair.withColumn(out, F.when(F.size("_pair") == 2, F.element_at("_pair", 1))).drop("_pair")

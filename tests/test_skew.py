@@ -95,3 +95,13 @@ def test_lookup_join_and_keep_first(spark, frame, limit):
     for r in rows:
         seen.setdefault(r[1], r[0])
     assert first == set(seen.values())
+
+
+@pytest.mark.parametrize("limit", [3, 10_000])
+def test_trailing_keeps_nulls(spark, limit):
+    rows = [(i, "k", i, None if i % 3 == 0 else i) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v long")
+    got = {r.id: list(r.h) for r in skew.trailing(df, ["k"], ["t"], 4, F.col("v"), "h", limit).collect()}
+    assert got == {i: [r[3] for r in rows[max(0, i - 3) : i + 1]] for i in range(40)}
+    before = {r.id: r.b for r in skew.previous(df, ["k"], ["t"], "v", "b", limit).collect()}
+    assert before == {i: rows[i - 1][3] if i else None for i in range(40)}
