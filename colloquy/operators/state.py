@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.scalars import clock, mood_emoji, mood_label, short_name
+from colloquy.functions.scalars import clock, mood_emoji, mood_label, short_name, stale
 from colloquy.operators.skew import lookup_join, with_position
 
 
@@ -175,5 +175,4 @@ def failures_after_success(
 
 
 def staleness(scores: DataFrame, now: Column, seconds: int) -> DataFrame:
-    age = F.unix_micros(now) - F.unix_micros("computed_at")
-    return conversation_mood(scores).withColumn("stale", age > F.lit(seconds * 1_000_000))
+    return conversation_mood(scores).withColumn("stale", stale(now, F.col("computed_at"), seconds))
