@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from colloquy.llm import quality  # noqa: F401
+from colloquy.llm import chat, decontam, linededup, lmscore, mixing, ngramjoin, pii, quality, toxicity, warc  # noqa: F401
 from colloquy.llm.registry import ORACLES, QUERIES  # noqa: F401
