@@ -117,7 +117,9 @@ def online_histories(messages: DataFrame, rows: int | None = None) -> DataFrame:
         "text",
     )
     columns = ["conversation_id", "_seg", "_carried", "_sent", "_received", "message_id", "text"]
-    segmented = with_segments(slim, ["conversation_id"], "_received", rows).withColumn("_carried", F.lit(False))
+    segmented = with_segments(
+        slim, ["conversation_id"], ["_received", "_sent", "message_id"], rows
+    ).withColumn("_carried", F.lit(False))
     split = segmented.filter("_split")
     newest = Window.partitionBy("conversation_id", "_seg").orderBy(
         F.desc("_sent"), F.desc("_received"), F.desc("message_id")
@@ -166,7 +168,7 @@ _KEYS, _ORDER = ["conversation_id"], ["at_us", "seq"]
 
 def _segmented(outcomes: DataFrame, rows: int | None) -> DataFrame:
     # each running value below reads the segments again, so they are written once
-    return materialize(with_segments(outcomes, _KEYS, "at_us", rows), "outcome-segments")
+    return materialize(with_segments(outcomes, _KEYS, _ORDER, rows), "outcome-segments")
 
 
 def _streaks(segmented: DataFrame, inclusive: bool, out: str) -> DataFrame:

@@ -10,7 +10,8 @@ Two ideas carry everything here:
   before it - a carried total, or the last few rows - is small.
 
 The cuts are quantiles of a hash sample. The sample depends on the values alone,
-so every branch of a plan, and every retry of a task, finds the same cuts.
+so every retry of a task finds the same cuts. Hot keys and cuts are counted first
+and written; where nothing is hot, the plain join or window is what runs.
 """
 
 from __future__ import annotations
@@ -20,29 +21,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.session import hot_rows
+from colloquy.session import hot_rows, materialize
 
-# At most this many keys are split; any key past them holds < 1/1000 of all rows.
-MAX_HOT_KEYS = 1_000
-# At most this many cuts per key, so a broadcast holds <= 1,000 x 16,383 values.
-MAX_CUTS = 16_383
-SALTS = 256
+# Rows of a null key match nothing and are dealt to this many tasks' worth of salts.
+NULL_SALTS = 1 << 20
 SAMPLES_PER_CUT = 8
+_SPLIT_MARK = "cut"
 
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], rows: int | None = None, sizes: DataFrame | None = None
-) -> DataFrame:
-    """Keys with more than `rows` rows, largest first, at most MAX_HOT_KEYS."""
+) -> DataFrame | None:
+    """Keys with more than `rows` rows and their count `_n`, or None if there are
+    none. There are at most all rows over `rows` of them; they are written, so
+    that the size of the table decides how it is joined."""
     limit = rows or hot_rows(df.sparkSession)
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        sizes.select(*keys, "_n")
-        .filter(F.col("_n") > limit)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-    )
+    found = materialize(sizes.select(*keys, "_n").filter(F.col("_n") > limit), "hot-keys")
+    return None if found.isEmpty() else found
 
 
 def lookup_join(
@@ -53,36 +50,33 @@ def lookup_join(
     rows: int | None = None,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """`left.join(right, keys, how)` with the hot keys of `left` salted. `sizes`
-    (keys and their row count `_n` in `left`) saves counting where it is known.
+    """`left.join(right, keys, how)` with the hot keys of `left` salted: as many
+    salts as the key has `rows`. `sizes` (keys and their row count `_n` in `left`)
+    saves counting where it is known. Without hot keys it is the plain join.
 
     `right` is expected to hold few rows per key (a lookup table); only its rows
-    for hot keys are copied, once per salt. Null keys never match, so their rows
-    are spread too."""
+    for hot keys are copied, once per salt, so any salt of a left row is right.
+    Null keys never match, so their rows are spread too."""
     keys = list(keys)
-    hot = hot_keys(left, keys, rows, sizes).select(*keys, F.lit(True).alias("_hot"))
+    limit = rows or hot_rows(left.sparkSession)
+    hot = hot_keys(left, keys, limit, sizes)
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = hot.select(*keys, F.ceil(F.col("_n") / F.lit(limit)).alias("_salts"))
     null_key = F.lit(False)
     for key in keys:
         null_key = null_key | F.col(key).isNull()
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)).cast("int")
-    salted = (
-        left.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | null_key, spread).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    copies = (
-        right.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_hot")
+    # equal rows must part, so their place counts, not their values
+    place = F.xxhash64(F.monotonically_increasing_id())
+    salted = left.join(hot, keys, "left").withColumn(
+        "_salt",
+        F.when(F.col("_salts").isNotNull(), F.pmod(place, "_salts"))
+        .when(null_key, F.pmod(place, F.lit(NULL_SALTS)))
+        .otherwise(F.lit(0)),
     )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    last = F.coalesce(F.col("_salts"), F.lit(1)) - 1
+    copies = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return salted.drop("_salts").join(copies.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
 def attach(
@@ -107,50 +101,55 @@ def keep_first(df: DataFrame, keys: Sequence[str], row_id: Sequence[str], flag:
     )
 
 
-def _cut_points(df: DataFrame, keys: list[str], order: str, rows: int) -> DataFrame:
+def _cut_points(df: DataFrame, keys: list[str], order: Column, rows: int) -> DataFrame | None:
+    """Per hot key the sorted values at which it is cut, one in SAMPLES_PER_CUT of
+    a sample by hash, so about one per `rows` rows."""
     hot = hot_keys(df, keys, rows)
-    stride = F.greatest(
-        F.lit(max(1, rows // SAMPLES_PER_CUT)),
-        (F.col("_n") / F.lit(SAMPLES_PER_CUT * MAX_CUTS)).cast("long"),
-    )
-    step = F.greatest(
-        F.lit(SAMPLES_PER_CUT), F.ceil(F.size("_sample") / F.lit(MAX_CUTS)).cast("int")
-    )
-    return (
-        df.select(*keys, order)
-        .join(F.broadcast(hot), keys)
-        .filter(F.pmod(F.xxhash64(order), stride) == 0)
+    if hot is None:
+        return None
+    stride = max(1, rows // SAMPLES_PER_CUT)
+    cuts = (
+        df.select(*keys, order.alias("_order"))
+        .filter(F.pmod(F.xxhash64("_order"), F.lit(stride)) == 0)
+        .join(hot.select(*keys), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set(order)).alias("_sample"))
-        .withColumn("_step", step)
-        .select(
-            *keys,
-            F.expr("filter(_sample, (v, i) -> (i + 1) % _step = 0)").alias("_cuts"),
-        )
+        .agg(F.sort_array(F.collect_set("_order")).alias("_sample"))
+        .select(*keys, F.expr(f"filter(_sample, (v, i) -> (i + 1) % {SAMPLES_PER_CUT} = 0)").alias("_cuts"))
         .filter(F.size("_cuts") > 0)
     )
+    return materialize(cuts, "cuts")
 
 
 def with_segments(
-    df: DataFrame, keys: Sequence[str], order: str, rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], rows: int | None = None
 ) -> DataFrame:
     """Add `_seg` (consecutive along `order` inside a key) and `_split` (whether
-    the key was cut at all). Rows with equal `order` share a segment."""
+    the key was cut at all). Only rows equal in all of `order` share a place, so
+    ties in its first column are cut like any others."""
     keys = list(keys)
-    cuts = _cut_points(df, keys, order, rows or hot_rows(df.sparkSession))
-    steps = ",".join(str(2**b) for b in range(MAX_CUTS.bit_length() - 1, -1, -1))
+    tuple_ = F.struct(*([order] if isinstance(order, str) else order))
+    cuts = _cut_points(df, keys, tuple_, rows or hot_rows(df.sparkSession))
+    if cuts is None:
+        return df.withColumns({"_split": F.lit(False), "_seg": F.lit(0)})
+    # steps of powers of two, from the greatest that the cuts hold
+    steps = "transform(sequence(0, CAST(floor(log2(size(_cuts))) AS INT)), b -> CAST(power(2, floor(log2(size(_cuts))) - b) AS INT))"
     position = F.expr(
-        f"aggregate(array({steps}), 0,"
-        f" (p, s) -> if(get(_cuts, p + s - 1) <= `{order}`, p + s, p))"
+        f"aggregate({steps}, 0, (p, s) -> if(coalesce(get(_cuts, p + s - 1) <= _place, false), p + s, p))"
     )
     return (
-        df.join(F.broadcast(cuts), keys, "left")
-        .withColumn("_split", F.col("_cuts").isNotNull())
+        df.withColumn("_place", tuple_)
+        .join(cuts, keys, "left")
+        .withColumn("_split", F.col("_cuts").isNotNull().alias("_split", metadata={_SPLIT_MARK: True}))
         .withColumn("_seg", F.when(F.col("_split"), position).otherwise(F.lit(0)))
-        .drop("_cuts")
+        .drop("_cuts", "_place")
     )
 
 
+def _is_split(segmented: DataFrame) -> bool:
+    """Whether `with_segments` cut any key: if not, it added the constant false."""
+    return _SPLIT_MARK in segmented.schema["_split"].metadata
+
+
 _COMBINE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
     "max": (F.max, lambda a, b: F.greatest(a, b)),
@@ -169,11 +168,16 @@ def running(
     in `order` inside each key, on a frame from `with_segments`. The totals
     carried into a segment are one row per segment of the split keys."""
     keys = list(keys)
+    plain = not _is_split(segmented)
     inside = (
         Window.partitionBy(*keys, "_seg")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
+    if plain:
+        return segmented.withColumns(
+            {out: _COMBINE[kind][0](col).over(inside) for out, (kind, col) in measures.items()}
+        )
     before = (
         Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -192,7 +196,7 @@ def running(
     )
     result = segmented.withColumns(
         {f"_w_{out}": _COMBINE[kind][0](col).over(inside) for out, (kind, col) in measures.items()}
-    ).join(F.broadcast(carried), [*keys, "_seg"], "left")
+    ).join(carried, [*keys, "_seg"], "left")
     return result.withColumns(
         {
             out: _COMBINE[kind][1](F.col(f"_w_{out}"), F.col(f"_c_{out}"))
@@ -213,7 +217,7 @@ def with_position(
         # one key for all rows, kept as an expression so that joins on it stay equi-joins
         whole = df.withColumn("_all", F.pmod(F.xxhash64(order[0]), F.lit(1)))
         return with_position(whole, ["_all"], order, out, rows).drop("_all")
-    segmented = with_segments(df, keys, order[0], rows)
+    segmented = with_segments(df, keys, order, rows)
     return running(segmented, keys, order, {out: ("sum", F.lit(1).cast("long"))}).drop(
         "_seg", "_split"
     )
@@ -235,7 +239,12 @@ def trailing(
     so its first rows see their full frame; the copies are dropped afterwards."""
     keys = list(keys)
     columns = df.columns
-    segmented = with_segments(df, keys, order[0], rows)
+    segmented = with_segments(df, keys, order, rows)
+    if not _is_split(segmented):
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)
+        return df.withColumn(out, F.collect_list(F.struct(value.alias("_v"))).over(frame)).withColumn(
+            out, F.col(out)["_v"]
+        )
 
     sizes = segmented.filter("_split").groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_m"))
     upto = Window.partitionBy(*keys).orderBy("_seg")
@@ -250,7 +259,7 @@ def trailing(
         segmented.filter("_split")
         .withColumn("_back", F.row_number().over(backwards))
         .filter(F.col("_back") < size)
-        .join(F.broadcast(ends), [*keys, "_seg"])
+        .join(ends, [*keys, "_seg"])
         .withColumn(
             "_to",
             F.explode(

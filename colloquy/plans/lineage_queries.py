@@ -36,11 +36,17 @@ def table_fingerprints(spark, sf):
     return result
 
 
-@query("file_fingerprints")
+@query(
+    "file_fingerprints",
+    "SELECT item_id, sha256(text || chr(10)) AS sha256, strlen(text) + 1 AS bytes FROM benchmark",
+)
 def file_fingerprints(spark, sf):
-    """Files of the given tables by content hash."""
-    files = lineage.file_fingerprints(spark, f"{sf}/*.parquet")
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "sha256", "bytes")
+    """Every benchmark text written to a file of its own, and hashed there."""
+    path = new_path(spark, "files")
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), "text")
+    items.repartition("item").write.partitionBy("item").text(path)
+    files = lineage.file_fingerprints(spark, f"{path}/item=*")
+    return files.select(F.regexp_extract("path", "item=([^/]+)/", 1).cast("long").alias("item_id"), "sha256", "bytes")
 
 
 _CONFIG = {

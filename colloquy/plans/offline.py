@@ -56,11 +56,12 @@ class Evaluation:
     by_persona: DataFrame
     by_context: DataFrame
     gate: DataFrame
+    validation: DataFrame
 
 
 def evaluate(examples: DataFrame, alpha: float = 1.0, width: int = 1 << 18, max_iter: int = 100) -> Evaluation:
-    """Fit on the training split, measure on the test split."""
-    train, test = (examples.filter(F.col("split") == s) for s in ("train", "test"))
+    """Fit on the training split, measure on the validation and the test split."""
+    train, validation, test = (examples.filter(F.col("split") == s) for s in ("train", "validation", "test"))
     model = regression.fit(train, alpha, width, max_iter)
     if metrics.non_finite(model.predict(train)).first().non_finite:
         raise NotApproved("TN_R14_NON_FINITE_PREDICTION")
@@ -73,6 +74,7 @@ def evaluate(examples: DataFrame, alpha: float = 1.0, width: int = 1 << 18, max_
         metrics.errors(predictions, ("persona",)),
         metrics.context_breakdown(predictions),
         metrics.quality_gate(predictions, metrics.mean_baseline(train, test)),
+        metrics.errors(model.predict(validation)),
     )
 
 

@@ -69,11 +69,12 @@ def stream_scores(spark, sf):
         value = F.size("context_clean") / 20.0 - F.length("text_clean") / 40.0
         return batch.withColumn("prediction", value)
 
-    scores_out, failures_out = new_path(spark, "stream-scores"), new_path(spark, "stream-failures")
+    out = new_path(spark, "stream-scores")
     messages = t.event_messages_of(_stream(spark, sf, "events"))
-    p.score_stream(messages, score, scores_out, failures_out, new_path(spark, "stream-scores-checkpoint"))
-    good = spark.read.parquet(scores_out).select("trigger_message_id", "conversation_id", F.round("score", 9).alias("score"))
-    bad = spark.read.parquet(failures_out).select("trigger_message_id", "conversation_id", "error_code")
+    p.score_stream(messages, score, out, new_path(spark, "stream-scores-checkpoint"))
+    good, bad = p.scored(spark, out)
+    good = good.select("trigger_message_id", "conversation_id", F.round("score", 9).alias("score"))
+    bad = bad.select("trigger_message_id", "conversation_id", "error_code")
     return good.unionByName(bad, allowMissingColumns=True)
 
 

@@ -23,8 +23,8 @@ _FIELDS = (
 # Row rules, then the first-wins cascade as nested windows over the survivors.
 CHECK_SQL = f"""
 {CORPUS_LINES_SQL},
-doc AS (SELECT line_no, value, CASE WHEN json_valid(value) THEN value::JSON END AS j FROM line WHERE trim(value) <> ''),
-fields AS (SELECT line_no, j, json_type(j) AS top, CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) END AS keys,
+doc AS (SELECT corpus, line_no, value, CASE WHEN json_valid(value) THEN value::JSON END AS j FROM line WHERE trim(value) <> ''),
+fields AS (SELECT corpus, line_no, j, json_type(j) AS top, CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) END AS keys,
   j->>'$.corpus_id' AS corpus_id, j->>'$.conversation_id' AS conversation_id, j->>'$.customer_id' AS customer_id,
   j->>'$.message_id' AS message_id, j->>'$.role' AS role, j->>'$.text' AS text, j->>'$.sent_at' AS sent_at,
   j->>'$.persona' AS persona, json_type(j, '$.text') AS text_type, json_type(j, '$.generated_label') AS label_type,
@@ -35,70 +35,71 @@ ruled AS (SELECT *, CASE
     OR trim(text) = '' OR length(text) > 1000 OR NOT regexp_full_match(sent_at, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ')
     OR NOT regexp_full_match(persona, '[a-z]+(_[a-z]+)*')
     OR label_type NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT', 'NULL') THEN 'DC_R01_SCHEMA_VIOLATION'
-  WHEN corpus_id <> 'corpus-a' THEN 'IG_R03_CORPUS_ID_INCONSISTENT'
+  WHEN corpus_id <> corpus THEN 'IG_R03_CORPUS_ID_INCONSISTENT'
   WHEN NOT (conversation_id LIKE 'syn-%' AND customer_id LIKE 'syn-%' AND message_id LIKE 'syn-%') THEN 'DC_R03_ID_PREFIX_INVALID'
   WHEN role = 'customer' AND (label IS NULL OR label NOT IN (-1, -0.5, 0, 0.5, 1)) THEN 'DC_R07_LABEL_MISSING_OR_INVALID'
   WHEN role = 'agent' AND label_type <> 'NULL' THEN 'DC_R08_AGENT_LABEL_NOT_NULL' END AS rule FROM fields),
-s0 AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY line_no) AS k FROM ruled WHERE rule IS NULL),
-s1 AS (SELECT *, first_value(customer_id) OVER (PARTITION BY conversation_id ORDER BY line_no) AS owner FROM s0 WHERE k = 1),
-s2 AS (SELECT *, first_value(persona) OVER (PARTITION BY customer_id ORDER BY line_no) AS first_persona FROM s1 WHERE owner = customer_id),
-s3 AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, sent_at ORDER BY line_no) AS m FROM s2 WHERE first_persona = persona),
+s0 AS (SELECT *, row_number() OVER (PARTITION BY corpus, message_id ORDER BY line_no) AS k FROM ruled WHERE rule IS NULL),
+s1 AS (SELECT *, first_value(customer_id) OVER (PARTITION BY corpus, conversation_id ORDER BY line_no) AS owner FROM s0 WHERE k = 1),
+s2 AS (SELECT *, first_value(persona) OVER (PARTITION BY corpus, customer_id ORDER BY line_no) AS first_persona FROM s1 WHERE owner = customer_id),
+s3 AS (SELECT *, row_number() OVER (PARTITION BY corpus, conversation_id, sent_at ORDER BY line_no) AS m FROM s2 WHERE first_persona = persona),
 checked AS (
-  SELECT r.line_no, r.message_id, r.conversation_id, r.customer_id, r.role, r.persona, r.text, r.sent_at, r.label,
+  SELECT r.corpus, r.line_no, r.message_id, r.conversation_id, r.customer_id, r.role, r.persona, r.text, r.sent_at, r.label,
     CASE WHEN r.rule IS NOT NULL THEN r.rule WHEN s0.k > 1 THEN 'DC_R02_DUPLICATE_MESSAGE_ID'
          WHEN s1.owner <> s1.customer_id THEN 'DC_R04_CONVERSATION_MULTI_CUSTOMER'
          WHEN s2.first_persona <> s2.persona THEN 'DC_R05_CUSTOMER_MULTI_PERSONA'
          WHEN s3.m > 1 THEN 'DC_R06_SENT_AT_DUPLICATE' END AS code
-  FROM ruled r LEFT JOIN s0 USING (line_no) LEFT JOIN s1 USING (line_no) LEFT JOIN s2 USING (line_no) LEFT JOIN s3 USING (line_no)),
+  FROM ruled r LEFT JOIN s0 USING (corpus, line_no) LEFT JOIN s1 USING (corpus, line_no) LEFT JOIN s2 USING (corpus, line_no) LEFT JOIN s3 USING (corpus, line_no)),
 ok AS (SELECT * FROM checked WHERE code IS NULL)"""
 
 
-@query("row_rules", f"WITH {CHECK_SQL} SELECT line_no, rule FROM ruled")
+@query("row_rules", f"WITH {CHECK_SQL} SELECT corpus, line_no, rule FROM ruled")
 def row_rules(spark, sf):
-    return v.parse(corpus_lines(spark, sf)).select("line_no", "rule")
+    return v.parse(corpus_lines(spark, sf)).select("corpus", "line_no", "rule")
 
 
-@query("corpus_errors", f"WITH {CHECK_SQL} SELECT line_no, message_id, code FROM checked WHERE code IS NOT NULL")
+@query("corpus_errors", f"WITH {CHECK_SQL} SELECT corpus, line_no, message_id, code FROM checked WHERE code IS NOT NULL")
 def corpus_errors(spark, sf):
-    return v.check(corpus_lines(spark, sf)).parsed.filter("code IS NOT NULL").select("line_no", "message_id", "code")
+    return v.check(corpus_lines(spark, sf)).parsed.filter("code IS NOT NULL").select("corpus", "line_no", "message_id", "code")
 
 
 @query(
     "error_list",
-    f"WITH {CHECK_SQL} SELECT line_no AS line, message_id, code FROM checked WHERE code IS NOT NULL ORDER BY line_no LIMIT 50",
+    f"""WITH {CHECK_SQL} SELECT corpus, line_no AS line, message_id, code FROM checked WHERE code IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY line_no) <= 50""",
 )
 def error_list(spark, sf):
-    return v.error_list(v.check(corpus_lines(spark, sf)).parsed).select("line", "message_id", "code")
+    return v.error_list(v.check(corpus_lines(spark, sf)).parsed).select("corpus", "line", "message_id", "code")
 
 
 @query(
     "error_summary",
-    f"""WITH {CHECK_SQL} SELECT count(code) AS errors, CASE WHEN count(code) > 0 THEN 'rejected' ELSE 'ok' END AS status,
-    count(code) > 50 AS errors_truncated FROM checked""",
+    f"""WITH {CHECK_SQL} SELECT corpus, count(code) AS errors, CASE WHEN count(code) > 0 THEN 'rejected' ELSE 'ok' END AS status,
+    count(code) > 50 AS errors_truncated FROM checked GROUP BY 1""",
 )
 def error_summary(spark, sf):
-    return v.error_summary(v.check(corpus_lines(spark, sf)).parsed).drop("corpus")
+    return v.error_summary(v.check(corpus_lines(spark, sf)).parsed)
 
 
 @query(
     "unordered_conversations",
-    f"""WITH {CHECK_SQL}, p AS (SELECT conversation_id, sent_at, lag(sent_at) OVER (PARTITION BY conversation_id ORDER BY line_no) AS b FROM ok)
-    SELECT conversation_id, count(*) AS steps_back FROM p WHERE sent_at < b GROUP BY 1""",
+    f"""WITH {CHECK_SQL}, p AS (SELECT corpus, conversation_id, sent_at, lag(sent_at) OVER (PARTITION BY corpus, conversation_id ORDER BY line_no) AS b FROM ok)
+    SELECT corpus, conversation_id, count(*) AS steps_back FROM p WHERE sent_at < b GROUP BY 1, 2""",
 )
 def unordered_conversations(spark, sf):
-    return v.unordered_conversations(v.check(corpus_lines(spark, sf)).survivors).drop("corpus")
+    return v.unordered_conversations(v.check(corpus_lines(spark, sf)).survivors)
 
 
 @query(
     "corpus_counts",
-    f"""WITH {CHECK_SQL} SELECT count(*) AS messages, count(*) FILTER (WHERE code IS NULL AND role = 'customer') AS messages_customer,
+    f"""WITH {CHECK_SQL} SELECT corpus, count(*) AS messages, count(*) FILTER (WHERE code IS NULL AND role = 'customer') AS messages_customer,
     count(*) FILTER (WHERE code IS NULL AND role = 'agent') AS messages_agent,
     count(DISTINCT CASE WHEN code IS NULL THEN conversation_id END) AS conversations,
     count(DISTINCT CASE WHEN code IS NULL THEN customer_id END) AS customers,
-    count(DISTINCT CASE WHEN code IS NULL THEN persona END) AS personas FROM checked""",
+    count(DISTINCT CASE WHEN code IS NULL THEN persona END) AS personas FROM checked GROUP BY 1""",
 )
 def corpus_counts(spark, sf):
-    return v.counts(v.check(corpus_lines(spark, sf)).parsed).drop("corpus")
+    return v.counts(v.check(corpus_lines(spark, sf)).parsed)
 
 
 @query(
@@ -190,13 +191,34 @@ rules AS (
 
 @query("composition", f"WITH {COMPOSITION_SQL} SELECT rule, subject, round(observed, 9) AS observed, bound, outcome FROM rules")
 def composition(spark, sf):
-    return v.composition(messages(spark, sf)).withColumn("observed", F.round("observed", 9))
+    return v.composition(messages(spark, sf)).withColumn("observed", F.round("observed", 9)).drop("corpus")
+
+
+# The composition of each corpus's survivors, and how many of its rules fail.
+STATUS_SQL = f"""{CHECK_SQL},
+cust AS (SELECT * FROM ok WHERE role = 'customer'),
+hit AS (SELECT corpus, avg((cpf + phone + email > 0)::INT::DOUBLE) AS r FROM (SELECT corpus, {COUNT_SQL} FROM cust) GROUP BY 1),
+conv AS (SELECT corpus, conversation_id, count(*) AS n, count(DISTINCT role) AS roles, count(DISTINCT label) AS k FROM ok GROUP BY 1, 2),
+bad AS (
+  SELECT corpus, (r NOT BETWEEN 0.05 AND 0.15)::INT AS b FROM hit
+  UNION ALL SELECT corpus, (n NOT BETWEEN 4 AND 20)::INT + (roles < 2)::INT FROM conv
+  UNION ALL SELECT corpus, (count(*) FILTER (WHERE k >= 2) / count(*) < 0.3)::INT FROM conv GROUP BY 1
+  UNION ALL SELECT corpus, (count(DISTINCT customer_id) < 150)::INT + (count(DISTINCT conversation_id) < 300)::INT
+    + (count(*) FILTER (WHERE role = 'customer') < 2000)::INT + (count(DISTINCT persona) < 4)::INT FROM ok GROUP BY 1
+  UNION ALL SELECT c.corpus, (count(m.label) / any_value(c.n) < 0.1)::INT
+    FROM (SELECT corpus, count(*) AS n FROM cust GROUP BY 1) c CROSS JOIN (VALUES (-1), (-0.5), (0), (0.5), (1)) l(level)
+    LEFT JOIN cust m ON m.corpus = c.corpus AND m.label = l.level GROUP BY c.corpus, l.level
+  UNION ALL SELECT corpus, (count(DISTINCT customer_id) / any_value(n) < 0.1)::INT
+    FROM ok JOIN (SELECT corpus, count(DISTINCT customer_id) AS n FROM ok GROUP BY 1) USING (corpus) GROUP BY corpus, persona),
+summed AS (SELECT corpus, sum(b)::BIGINT AS b FROM bad GROUP BY 1),
+lines AS (SELECT corpus, count(code) AS line_errors FROM checked GROUP BY 1)"""
 
 
 @query(
     "corpus_status",
-    f"""WITH {CHECK_SQL} SELECT count(code) AS line_errors, NULL::BIGINT AS composition_errors, 'rejected' AS status,
-    'not_evaluated' AS composition FROM checked""",
+    f"""WITH {STATUS_SQL} SELECT corpus, line_errors, CASE WHEN line_errors = 0 THEN coalesce(b, 0) END AS composition_errors,
+    CASE WHEN line_errors > 0 OR b > 0 THEN 'rejected' ELSE 'ok' END AS status,
+    CASE WHEN line_errors > 0 THEN 'not_evaluated' ELSE 'evaluated' END AS composition FROM lines LEFT JOIN summed USING (corpus)""",
 )
 def corpus_status(spark, sf):
     checked = v.check(corpus_lines(spark, sf))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import MAX_HISTORY
 from colloquy.operators.skew import trailing
 from colloquy.plans.regression import ridge
+from colloquy.session import materialize
 
 
 def mean_vector(vectors: DataFrame, keys: list[str], vector: str, weight: Column | None = None) -> DataFrame:
@@ -69,4 +70,4 @@ def linear_probe(train: DataFrame, features: str = "features", label: str = "lab
     """Ridge on frozen vectors."""
     data = train.select(array_to_vector(F.transform(F.col(features), lambda x: x.cast("double"))).alias("features"),
                         F.col(label).alias("label_score"))
-    return ridge(data.persist(), alpha)
+    return ridge(materialize(data, "probe-vectors"), alpha)

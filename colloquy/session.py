@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,16 +32,38 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other call has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Deletes the folders that the operators wrote inside the block. Results
+    that are still wanted must be written elsewhere before it ends."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        ours = _made[start:]
+        del _made[start:]
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in ours:
+            folder = hadoop(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores when its scan has fewer splits than there are cores,
-    as for one small file; larger inputs are left where they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(scan: DataFrame) -> DataFrame:
+    """A bare scan over all cores when it has fewer splits than there are cores,
+    as for one small file; larger inputs are left where they are. Counting the
+    splits of anything but a scan would run it, so this is for scans alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -67,24 +67,32 @@ def write_canonical(messages: DataFrame, path: str) -> None:
     ).write.text(path)
 
 
+def open_path(path: str):
+    """The file system of a path as Spark prints it, and the name there."""
+    from pyarrow import fs
+
+    # Spark prints local paths with one slash
+    local = path.startswith("file:/") and not path.startswith("file://")
+    return fs.FileSystem.from_uri("file://" + path[len("file:") :] if local else path)
+
+
 def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
     for batch in batches:
-        found, sizes, marks = [], [], []
+        rows = []
         for path in batch["path"]:
-            # Spark prints local paths with one slash
-            local = path.startswith("file:/") and not path.startswith("file://")
-            source, name = fs.FileSystem.from_uri("file://" + path[len("file:") :] if local else path)
+            source, name = open_path(path)
             info = source.get_file_info(name)
-            found.append(info.type == fs.FileType.File)
-            sizes.append(info.size or 0)
-            start = b""
-            if found[-1]:
-                with source.open_input_stream(name) as stream:
-                    start = stream.read(3)
-            marks.append(start == b"\xef\xbb\xbf")
-        yield pd.DataFrame({"path": batch["path"], "found": found, "size": sizes, "has_bom": marks})
+            start, readable = b"", info.type == fs.FileType.File
+            if readable:
+                try:
+                    with source.open_input_stream(name) as stream:
+                        start = stream.read(3)
+                except OSError:
+                    readable = False
+            rows.append((path, info.type != fs.FileType.NotFound, readable, info.size or 0, start == b"\xef\xbb\xbf"))
+        yield pd.DataFrame(rows, columns=["path", "found", "readable", "size", "has_bom"])
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -93,10 +101,10 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inspect_files(paths: DataFrame) -> DataFrame:
-    """(path, found, size, has_bom) of the given paths; three bytes of each file
-    are read. Text scans drop a byte order mark, and listings leave empty files
+    """(path, found, readable, size, has_bom) of the given paths; three bytes of
+    each file are read. A folder is found but not readable. Text scans drop a byte order mark, and listings leave empty files
     out, so neither can be seen there."""
-    return paths.select("path").mapInPandas(_inspect, "path string, found boolean, size long, has_bom boolean")
+    return paths.select("path").mapInPandas(_inspect, "path string, found boolean, readable boolean, size long, has_bom boolean")
 
 
 def encoding_errors(lines: DataFrame, marks: DataFrame) -> DataFrame:
@@ -114,7 +122,7 @@ def encoding_errors(lines: DataFrame, marks: DataFrame) -> DataFrame:
             "path",
             F.when(~F.col("has_bom"), F.col("line_no")).alias("line_no"),
             F.lit("IG_R04_ENCODING_INVALID").alias("code"),
-            F.when(F.col("has_bom"), "file has a UTF-8 BOM").otherwise("invalid UTF-8").alias("detail"),
+            F.when(F.col("has_bom"), "byte order mark").otherwise("not UTF-8").alias("detail"),
         )
     )
 
@@ -135,6 +143,7 @@ def path_errors(inspected: DataFrame) -> DataFrame:
     code = (
         F.when(~F.col("path").endswith(".jsonl"), "IG_R01_NOT_READABLE")
         .when(~F.col("found"), "IG_R01_FILE_NOT_FOUND")
+        .when(~F.col("readable"), "IG_R01_NOT_READABLE")
         .when(F.col("size") == 0, "IG_R01_EMPTY_FILE")
         .when(~F.col("path").rlike(r"/raw/synthetic/[^/]+$"), "IG_R02_PATH_OUTSIDE_SYNTHETIC")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.session import spread
+
 # 2024-01-01T00:00:00Z and the five label levels.
 EPOCH = 1_704_067_200
 LEVELS = (-1.0, -0.5, 0.0, 0.5, 1.0)
@@ -135,7 +137,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a quality label as regression examples: score -1 or 1,
     persona = language, group = source, context = the language's name."""
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"))
         .join(table(spark, sf_dir, "labels"), "doc_id")
         .select(
             F.col("doc_id").cast("string").alias("example_id"),
@@ -201,54 +203,66 @@ pred AS (
          'mood-2024.0' || (event_id % 2 + 1) || '.' || (event_id % 6) AS model_version
   FROM events)"""
 
-# Corpus lines in an SQL both engines read, with broken lines mixed in by line
-# number. Needs columns n (line number), conv_id, turn, role, text.
-_SAFE_TEXT = (
-    "substr(translate(text, chr(34) || chr(92) || chr(10) || chr(13) || chr(9) || chr(8) || chr(12), '       '), 1,"
-    " CASE WHEN n % 41 = 0 THEN 1100 ELSE 900 END)"
-)
+# Corpus lines in an SQL both engines read. One corpus has broken lines mixed in
+# by line number, the other holds none but those its texts are too long for.
+# Needs columns corpus, n (line number), conv_id, turn, role, text.
+_BACKSLASH = "chr(92)"
+
+
+def _json_string(column: str) -> str:
+    """The whole text as a JSON string: the characters JSON cannot hold as they
+    are get an escape."""
+    sql = f"replace({column}, {_BACKSLASH}, {_BACKSLASH} || {_BACKSLASH})"
+    for code, mark in ((34, "chr(34)"), (10, "'n'"), (13, "'r'"), (9, "'t'"), (8, "'b'"), (12, "'f'")):
+        sql = f"replace({sql}, chr({code}), {_BACKSLASH} || {mark})"
+    return f"chr(34) || {sql} || chr(34)"
+
+
+_K = "CASE WHEN corpus = 'corpus-a' THEN n % 37 ELSE 0 END"
 CORPUS_LINE_SQL = f"""
 CASE
-  WHEN n % 37 = 1 THEN '{{"corpus_id": "corpus-a", '
-  WHEN n % 37 = 2 THEN '[1]'
-  WHEN n % 37 = 3 THEN '{{"corpus_id": "corpus-a", "role": "customer"}}'
-  WHEN n % 37 = 4 THEN '   '
-  ELSE '{{"corpus_id": "' || CASE WHEN n % 37 = 5 THEN 'corpus-b' ELSE 'corpus-a' END
+  WHEN k = 1 THEN '{{"corpus_id": "corpus-a", '
+  WHEN k = 2 THEN '[1]'
+  WHEN k = 3 THEN '{{"corpus_id": "corpus-a", "role": "customer"}}'
+  WHEN k = 4 THEN '   '
+  ELSE '{{"corpus_id": "' || CASE WHEN k = 5 THEN 'corpus-x' ELSE corpus END
     || '", "conversation_id": "syn-c' || conv_id
-    || '", "customer_id": "syn-u' || CASE WHEN n % 37 = 6 THEN 999 ELSE conv_id % 40 END
-    || '", "message_id": "' || CASE WHEN n % 37 = 7 THEN 'msg' ELSE 'syn-m' END
-    || CASE WHEN n % 37 = 8 THEN n - 2 ELSE n END
-    || '", "role": "' || CASE WHEN n % 37 = 9 THEN 'bot' WHEN role = 'user' THEN 'customer' ELSE 'agent' END
-    || '", "text": ' || CASE WHEN n % 37 = 10 THEN '" "' WHEN n % 37 = 11 THEN '17'
-                             ELSE '"' || {_SAFE_TEXT} || '"' END
-    || ', "sent_at": "2024-01-' || CASE WHEN n % 37 = 12 THEN '' ELSE lpad(CAST(conv_id % 28 + 1 AS VARCHAR(9)), 2, '0') END
-    || 'T00:' || lpad(CAST(CASE WHEN n % 37 = 13 THEN 0 WHEN n % 37 = 14 THEN 59 - turn ELSE turn END AS VARCHAR(9)), 2, '0') || ':00Z'
-    || '", "persona": "' || CASE WHEN n % 37 = 15 THEN 'Bad Case' WHEN n % 37 = 16 THEN 'persona_z'
+    || '", "customer_id": "syn-u' || CASE WHEN k = 6 THEN 999 ELSE conv_id % 40 END
+    || '", "message_id": "' || CASE WHEN k = 7 THEN 'msg' ELSE 'syn-m' END || CASE WHEN corpus = 'corpus-c' THEN 'c' ELSE '' END
+    || CASE WHEN k = 8 THEN n - 2 ELSE n END
+    || '", "role": "' || CASE WHEN k = 9 OR role = 'system' THEN 'bot' WHEN role = 'user' THEN 'customer' ELSE 'agent' END
+    || '", "text": ' || CASE WHEN k = 10 THEN '" "' WHEN k = 11 THEN '17' ELSE {_json_string("text")} END
+    || ', "sent_at": "2024-01-' || CASE WHEN k = 12 THEN '' ELSE lpad(CAST(conv_id % 28 + 1 AS VARCHAR(9)), 2, '0') END
+    || 'T00:' || lpad(CAST(CASE WHEN k = 13 THEN 0 WHEN k IN (14, 25) THEN 59 - turn ELSE turn END AS VARCHAR(9)), 2, '0') || ':00Z'
+    || '", "persona": "' || CASE WHEN k = 15 THEN 'Bad Case' WHEN k = 16 THEN 'persona_z'
                                  ELSE 'persona_' || substr('abcde', CAST(conv_id % 40 % 5 + 1 AS INT), 1) END
-    || '", ' || CASE WHEN n % 37 = 17 THEN '"extra": 1, ' ELSE '' END || '"generated_label": '
-    || CASE WHEN n % 37 = 18 THEN '"high"' WHEN n % 37 = 19 THEN '0.25' WHEN n % 37 = 20 THEN '1'
+    || '", ' || CASE WHEN k = 17 THEN '"extra": 1, ' ELSE '' END || '"generated_label": '
+    || CASE WHEN k = 18 THEN '"high"' WHEN k = 19 THEN '0.25' WHEN k = 20 THEN '1'
             WHEN role <> 'user' THEN 'null'
             WHEN (conv_id * 3 + turn) % 5 = 0 THEN '-1.0' WHEN (conv_id * 3 + turn) % 5 = 1 THEN '-0.5'
             WHEN (conv_id * 3 + turn) % 5 = 2 THEN '0' WHEN (conv_id * 3 + turn) % 5 = 3 THEN '0.5' ELSE '1.0' END
     || '}}'
 END"""
+_CORPUS = "CASE WHEN conv_id % 5 = 3 THEN 'corpus-c' ELSE 'corpus-a' END"
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(corpus, line_no, value): the conversations as corpus lines."""
+    """(corpus, line_no, value): all turns as lines of two corpora, whole texts.
+    A system turn is a line whose role no rule admits."""
     from colloquy.operators.skew import with_position
 
-    turns = table(spark, sf_dir, "conversations").filter(F.col("role") != "system")
+    turns = table(spark, sf_dir, "conversations").withColumn("corpus", F.expr(_CORPUS))
     numbered = with_position(
-        turns.withColumn("_at", F.col("conv_id") * 1_000_000 + F.col("turn")), [], ["_at"], "n"
+        turns.withColumn("_at", F.col("conv_id") * 1_000_000 + F.col("turn")), ["corpus"], ["_at"], "n"
     )
-    return numbered.select(
-        F.lit("corpus-a").alias("corpus"), F.col("n").alias("line_no"), F.expr(CORPUS_LINE_SQL).alias("value")
+    return numbered.withColumn("k", F.expr(_K)).select(
+        "corpus", F.col("n").alias("line_no"), F.expr(CORPUS_LINE_SQL).alias("value")
     )
 
 
 CORPUS_LINES_SQL = f"""
 numbered AS (
-  SELECT row_number() OVER (ORDER BY conv_id, turn) AS n, conv_id, turn, role, text
-  FROM conversations WHERE role <> 'system'),
-line AS (SELECT n AS line_no, {CORPUS_LINE_SQL} AS value FROM numbered)"""
+  SELECT *, {_K} AS k FROM (
+    SELECT corpus, row_number() OVER (PARTITION BY corpus ORDER BY conv_id, turn) AS n, conv_id, turn, role, text
+    FROM (SELECT *, {_CORPUS} AS corpus FROM conversations))),
+line AS (SELECT corpus, n AS line_no, {CORPUS_LINE_SQL} AS value FROM numbered)"""

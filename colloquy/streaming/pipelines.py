@@ -129,13 +129,13 @@ def current_mood(spark: SparkSession, out: str, key: str, schema: T.StructType)
 def score_stream(
     messages: DataFrame,
     score: Callable[[DataFrame], DataFrame],
-    scores_out: str,
-    failures_out: str,
+    out: str,
     checkpoint: str,
 ) -> None:
     """Messages to histories to features to scores. Text is cleaned and masked
     before it enters the state, once per message. A value outside [-1, 1], NaN or
-    null becomes a failure record, never a score."""
+    null becomes a failure record, never a score. Both kinds are written at once,
+    each to its folder of `out`, so a batch is scored once; see `scored`."""
     prepared = with_prepared(messages.filter(F.col("role") == "customer"), "text", "text")
     windows = histories(prepared).select(
         "conversation_id",
@@ -143,14 +143,28 @@ def score_stream(
         F.element_at("history_texts", -1).alias("text_clean"),
         F.slice("history_texts", F.lit(1), F.size("history_texts") - 1).alias("context_clean"),
     )
-    write_scores, write_failures = _by_batch(scores_out), _by_batch(failures_out)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        scored = score(batch).drop("text_clean", "context_clean")
-        good = in_range(F.col("prediction"))
-        write_scores(scored.filter(good).withColumnRenamed("prediction", "score"), batch_id)
-        write_failures(
-            scored.filter(~good).withColumn("error_code", F.lit("score_out_of_range")).drop("prediction"), batch_id
-        )
+        made = score(batch).drop("text_clean", "context_clean")
+        good = F.coalesce(in_range(F.col("prediction")), F.lit(False))
+        made.select(
+            *[c for c in made.columns if c != "prediction"],
+            F.col("prediction").cast("double").alias("score"),
+            F.when(~good, "score_out_of_range").alias("error_code"),
+            F.when(good, "score").otherwise("failure").alias("outcome"),
+        ).write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/batch={batch_id}")
 
     run_each_batch(windows, sink, checkpoint)
+
+
+def scored(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """The score and the failure records that `score_stream` wrote."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    good, bad = (rows.filter(F.col("outcome") == kind).drop("outcome", "batch") for kind in ("score", "failure"))
+    return good.drop("error_code"), bad.drop("score")
+
+
+def compact_current_mood(spark: SparkSession, out: str, key: str, schema: T.StructType, to: str) -> None:
+    """The newest record per key of the batches under `out`, as the one batch of a
+    new folder: a restart point whose size is that of the keys."""
+    current_mood(spark, out, key, schema).write.mode("overwrite").parquet(f"{to}/batch=0")

@@ -100,6 +100,33 @@ def test_config_fingerprint_is_the_hash_of_sorted_json(spark):
         json.dumps({**fixed, "dataset_sha256": {"train": "aa", "test": "bb"}}, sort_keys=True).encode()
     ).hexdigest()[:16]
     assert spark.range(1).select(column).first()[0] == want
-    config = {"algorithm": "x", "seed": 1, "ridge": {"alpha": 1.0}, "embeddings": {"e": 1}}
-    assert lineage.hyperparameters_for("tfidf-ridge", config) == {"seed": 1, "ridge": {"alpha": 1.0}}
-    assert lineage.hyperparameters_for("embeddings-ft", config) == {"seed": 1, "embeddings": {"e": 1}}
+
+
+def test_folder_is_not_readable(spark, tmp_path):
+    base = tmp_path / "raw" / "synthetic"
+    (base / "folder.jsonl").mkdir(parents=True)
+    (base / "empty.jsonl").write_text("")
+    paths = spark.createDataFrame([(f"file://{base}/{n}.jsonl",) for n in ("folder", "empty", "gone")], "path string")
+    got = {r.corpus: r.code for r in corpus.path_errors(corpus.inspect_files(paths)).collect()}
+    assert got == {"folder": "IG_R01_NOT_READABLE", "empty": "IG_R01_EMPTY_FILE", "gone": "IG_R01_FILE_NOT_FOUND"}
+
+
+def test_file_fingerprint_reads_in_chunks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    body = bytes(range(256)) * 9000
+    (tmp_path / "f").write_bytes(body)
+    row = lineage.file_fingerprints(spark, str(tmp_path / "f")).first()
+    assert (row.sha256, row.bytes) == (hashlib.sha256(body).hexdigest(), len(body))
+
+
+def test_job_deletes_what_it_wrote(spark):
+    import os
+
+    from colloquy import session
+
+    with session.job(spark):
+        made = session.materialize(spark.range(3).toDF("id"), "scratch")
+        path = made.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)

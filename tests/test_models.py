@@ -93,7 +93,7 @@ def _examples(spark, signal, seed):
 @pytest.mark.parametrize("signal", [True, False])
 def test_gate_tells_signal_from_noise(spark, signal):
     train, test = _examples(spark, signal, 1), _examples(spark, signal, 2)
-    model = regression.fit(train, width=1 << 10, max_iter=30)
+    model = regression.fit(train, width=1 << 10)
     predicted = model.predict(test)
     assert metrics.non_finite(predicted).first().non_finite == 0
     gate = metrics.quality_gate(predicted, metrics.mean_baseline(train, test)).first()
@@ -119,3 +119,15 @@ def test_vectors_equal_numpy(spark, limit):
     scored = df.select("id", vectors.linear_score(F.col("e"), head, b).alias("s"))
     for r in scored.collect():
         assert r.s == pytest.approx(np.dot(rows[r.id][2], head) + b)
+
+
+def test_first_version_of_a_month(spark):
+    versions = spark.createDataFrame([("mood-2024.01.3",), ("mood-2024.01.1",)], "model_version string")
+    months = spark.createDataFrame([(2024, 1), (2024, 2)], "year int, month int")
+    got = {r.month: r.next_version for r in metrics.next_version(versions, months=months).collect()}
+    assert got == {1: "mood-2024.01.4", 2: "mood-2024.02.0"}
+
+
+def test_fit_that_does_not_settle_is_an_error(spark):
+    with pytest.raises(RuntimeError, match="did not settle"):
+        regression.fit(_examples(spark, True, 1), width=1 << 10, max_iter=2, strict=True)

@@ -8,7 +8,6 @@ import pytest
 import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"text_regression", "score_documents"}  # fitted in test_models; run in bench
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def test_query_equals_sql(spark, con, name):
     assert oracle.compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_query_runs(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 

@@ -105,3 +105,32 @@ def test_trailing_keeps_nulls(spark, limit):
     assert got == {i: [r[3] for r in rows[max(0, i - 3) : i + 1]] for i in range(40)}
     before = {r.id: r.b for r in skew.previous(df, ["k"], ["t"], "v", "b", limit).collect()}
     assert before == {i: rows[i - 1][3] if i else None for i in range(40)}
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    """A frame of one column: nothing but their place tells its rows apart."""
+    df = spark.range(3000).select(F.lit("hot").alias("k"))
+    names = spark.createDataFrame([("hot", 1)], "k string, n int")
+    joined = skew.lookup_join(df, names, ["k"], "left", 100)
+    assert joined.count() == 3000 and joined.filter("n = 1").count() == 3000
+    salts = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in salts
+    hot = skew.hot_keys(df, ["k"], 100)
+    assert hot.first()._n == 3000 and skew.hot_keys(df, ["k"], 3000) is None
+
+
+def test_ties_are_cut(spark):
+    """All times equal: the second column of the order still cuts the key."""
+    rows = [(i, "hot", 5, i % 7) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v long")
+    seg = skew.with_segments(df, ["k"], ["t", "id"], 50)
+    sizes = [r["count"] for r in seg.groupBy("_seg").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 400
+    pos = {r.id: r.position for r in skew.with_position(df, ["k"], ["t", "id"], rows=50).collect()}
+    assert pos == {i: i + 1 for i in range(900)}
+
+
+def test_plain_window_where_nothing_is_hot(spark, frame):
+    _, df = frame
+    plan = skew.trailing(df, ["k"], ["t", "id"], 5, F.col("id"), "h", 10_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "Join" not in plan

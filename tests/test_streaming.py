@@ -90,14 +90,23 @@ def test_scores_and_failures(spark, tmp_path):
     rows = _messages(90)
     stream = _drop_files(spark, tmp_path / "in", _chunks(rows, 2), SCHEMA)
 
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        calls.add(1)
+        return value
+
     def score(batch):
         assert batch.filter(F.col("text_clean").contains("@")).isEmpty()
         size = F.size("context_clean")
         value = F.when(size == 3, float("nan")).otherwise(size / 10 - 0.5)
-        return batch.withColumn("prediction", value)
+        return batch.withColumn("prediction", counted(value.cast("double")))
 
-    p.score_stream(stream, score, str(tmp_path / "s"), str(tmp_path / "f"), str(tmp_path / "cp"))
-    good, bad = spark.read.parquet(str(tmp_path / "s")), spark.read.parquet(str(tmp_path / "f"))
+    p.score_stream(stream, score, str(tmp_path / "s"), str(tmp_path / "cp"))
+    # one model call per message
+    assert calls.value == sum(r[3] == "customer" for r in rows)
+    good, bad = p.scored(spark, str(tmp_path / "s"))
     customers = {r[0] for r in rows if r[3] == "customer"}
     assert {r.trigger_message_id for r in good.collect()} | {r.trigger_message_id for r in bad.collect()} == customers
     assert good.count() + bad.count() == len(customers) and bad.count() > 0
