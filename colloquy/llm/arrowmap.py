@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TEXT = "__text"
-
-
 def with_columns(
     df: DataFrame, text: str, function: Callable[[pa.Array], Mapping[str, pa.Array]], fields: T.StructType,
     keep_text: bool = False,
@@ -20,7 +17,8 @@ def with_columns(
     of those names are replaced. The text column itself is carried on only if asked for."""
     added = [f.name for f in fields]
     kept = [c for c in df.columns if c not in added and (keep_text or c != text)]
-    source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(TEXT))
+    body = "_".join(["", *df.columns])  # a name that no column has
+    source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(body))
     schema = T.StructType([source.schema[c] for c in kept] + list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,6 +32,20 @@ def with_columns(
     return source.mapInArrow(run, schema)
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """`df` with its columns named by place, so that no name can clash with those of a step; the new name of a column;
+    and the way back, which drops what the step added."""
+    names = df.columns
+
+    def place(name: str) -> str:
+        return f"c{names.index(name)}"
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(names)))
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))), place, back
+
+
 def id_hash(column: str, modulus: int) -> Column:
     """crc32 of a column's text modulo `modulus`; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm import textbytes as tb
-from colloquy.llm.arrowmap import with_columns
+from colloquy.llm.arrowmap import by_place, with_columns
 from colloquy.llm.registry import query, table
 from colloquy.session import materialize
 
@@ -362,10 +362,8 @@ def longest_matches(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that are not contaminated, with their columns."""
-    renamed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    key = f"c{docs.columns.index(text)}"
-    clean = find_benchmark(renamed, benchmark, key, keep_text=True).where(~F.col("contaminated"))
-    return clean.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    placed, place, back = by_place(docs)
+    return back(find_benchmark(placed, benchmark, place(text), keep_text=True).where(~F.col("contaminated")))
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm.arrowmap import by_place
 from colloquy.llm.registry import query, table
 from colloquy.session import materialize
 
@@ -72,28 +73,32 @@ def remove_boilerplate(
         ~(F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("line") == F.col("first.line")))
     )
     places = hit.groupBy(*_DOC).agg(F.collect_set("line").alias("_out"))  # no more than the text has lines
-    keyed = docs.drop("n_removed").withColumns({"_th": F.xxhash64(text)})
-    joined = keyed.join(
-        places, keyed[id_col].eqNullSafe(places["_id"]) & (keyed["_th"] == places["_th"]), "left"
-    ).select(*(keyed[c] for c in keyed.columns if c != "_th"), "_out")
-    lines_of = f"split(`{text}`, '\\\\n')"
+    kept = docs.drop("n_removed")
+    placed, place, back = by_place(kept.withColumn("n_removed", F.lit(0).cast("long")))
+    body, hit_here = place(text), F.col("_out").isNotNull()
+    joined = placed.join(
+        places, placed[place(id_col)].eqNullSafe(places["_id"]) & (F.xxhash64(placed[body]) == places["_th"]), "left"
+    )
     rest = (
-        f"transform(array({lines_of}), l -> array_join(transform("
+        f"transform(array(split(`{body}`, '\\n')), l -> array_join(transform("
         "array_except(sequence(0, size(l) - 1), _out), i -> l[i]), '\\n'))[0]"
     )
-    out = joined.withColumn(text, F.when(F.col("_out").isNull(), F.col(text)).otherwise(F.expr(rest)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_out").isNull(), F.col("n_chars")).otherwise(F.length(text)))
-    return out.withColumn("n_removed", F.coalesce(F.size("_out"), F.lit(0)).cast("long")).drop("_out")
+    out = joined.withColumn(body, F.when(hit_here, F.expr(rest)).otherwise(F.col(body)))
+    if "n_chars" in kept.columns:
+        n = place("n_chars")
+        out = out.withColumn(n, F.when(hit_here, F.length(body)).otherwise(F.col(n)))
+    return back(out.withColumn(place("n_removed"), F.when(hit_here, F.size("_out").cast("long")).otherwise(0)))
 
 
 def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` without boilerplate lines; documents of which nothing but white space is left go."""
-    columns = docs.columns
-    kept = remove_boilerplate(docs, text).where(
-        (F.col("n_removed") == 0) | F.col(text).rlike("[^\\x20\\x09-\\x0D]")
+    placed, place, back = by_place(docs)
+    names = {place(c): c for c in ("doc_id", "source", "n_chars") if c in docs.columns}
+    named = placed.withColumnsRenamed(names)
+    kept = remove_boilerplate(named, place(text)).where(
+        (F.col("n_removed") == 0) | F.col(place(text)).rlike("[^\\x20\\x09-\\x0D]")
     )
-    return kept.select(*columns)
+    return back(kept.withColumnsRenamed({c: p for p, c in names.items()}))
 
 
 _SQL = f"""

@@ -30,6 +30,7 @@ TEMPERATURES = {"source": 0.8, "lang": 0.9, "topic": 1.0}
 TOLERANCE = 1e-6
 MAX_SWEEPS = 60
 SEED = 20
+_OWN = "__mix_"  # of columns that a join drops again
 
 # Topic patterns, the first that is found decides.
 TOPICS = (
@@ -115,10 +116,10 @@ def mix(
     )
     top = rated.agg(F.max("rate")).first()[0] or 1.0
     chance = rated.select(
-        *(F.col(d).alias(f"_{d}") for d in DIMENSIONS), (F.col("rate") / F.lit(top)).alias("probability")
+        *(F.col(d).alias(f"{_OWN}{d}") for d in DIMENSIONS), (F.col("rate") / F.lit(top)).alias("probability")
     )
-    same = reduce(lambda a, b: a & b, [measured[d].eqNullSafe(chance[f"_{d}"]) for d in DIMENSIONS])
-    joined = measured.join(chance, same, "left").drop(*(f"_{d}" for d in DIMENSIONS))
+    same = reduce(lambda a, b: a & b, [measured[d].eqNullSafe(chance[f"{_OWN}{d}"]) for d in DIMENSIONS])
+    joined = measured.join(chance, same, "left").drop(*(f"{_OWN}{d}" for d in DIMENSIONS))
     point = F.pmod(F.xxhash64(F.col(id_col), F.col(text), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return joined.withColumn("drawn", point < F.col("probability"))
 

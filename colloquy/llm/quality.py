@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.llm.arrowmap import by_place
 from colloquy.llm.registry import query, table
 from colloquy.session import materialize
 
@@ -168,16 +169,19 @@ def _with_cutoffs(df: DataFrame, cuts: DataFrame, stratum: str) -> DataFrame:
 
 def judge(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
     """`measured` with `kept`."""
-    held = _with_cutoffs(measured.drop("kept"), cuts, stratum).withColumn("kept", F.expr(_verdict("")))
+    mine = ("kept", "_stratum", *(f"cut_{r}" for r in RULES))
+    held = _with_cutoffs(measured.drop(*mine), cuts, stratum).withColumn("kept", F.expr(_verdict("")))
     return held.drop("_stratum", *(f"cut_{r}" for r in RULES))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of `docs` that the rules keep, with their columns. Measures are written without the texts to find the
     cutoffs; the texts are then measured again where they are, which needs no shuffle of texts."""
-    slim = materialize(measure(docs.select("doc_id", stratum, text), text).drop(text), "measures")
-    held = _with_cutoffs(docs, cutoffs(slim, labels, stratum), stratum)
-    return held.where(F.expr(_let(_measured(text), "m", _verdict("m.")))).select(*(docs[c] for c in docs.columns))
+    slim = docs.select(F.col("doc_id"), F.col(stratum).alias("_lang"), F.col(text).alias("_text"))
+    slim = materialize(measure(slim, "_text").drop("_text"), "measures")
+    placed, place, back = by_place(docs)
+    held = _with_cutoffs(placed, cutoffs(slim, labels, "_lang"), place(stratum))
+    return back(held.where(F.expr(_let(_measured(place(text)), "m", _verdict("m.")))))
 
 
 _N_RULES = len(RULES)
