@@ -1,7 +1,8 @@
 """Near-duplicate join on five-word shingles with a MinHash LSH forest and exact verification.
 
 Texts with equal sets of shingles are one class, found by a 128-bit hash of the set; only classes go on, and copies are
-never expanded. A class has a signature of TREES labels of MAX_DEPTH min-hashes. The labels of one tree, sorted, are a
+never expanded. A class has a signature of TREES labels of MAX_DEPTH min-hashes, 16 bits
+of each. The labels of one tree, sorted, are a
 prefix trie; two classes match at depth d if they meet in a node of depth d of any trie. The join starts at the deepest
 nodes. The similarities that verification finds tell how many links a depth must have missed (a link of similarity s
 meets with probability 1 - (1 - s^d)^TREES); prefixes are shortened, straight to the depth for which the estimate reaches
@@ -25,12 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm import textbytes as tb
-from colloquy.llm.arrowmap import with_columns
+from colloquy.llm.arrowmap import by_place, with_columns
 from colloquy.llm.components import components
 from colloquy.llm.registry import query, table
 from colloquy.session import materialize
@@ -40,8 +41,9 @@ SIMILAR = (4, 5)  # at least 4/5
 TREES = 24
 MAX_DEPTH = 8
 RECALL = 0.9999
-BLOCK_CLASSES = 2_048
+BLOCK_CLASSES = 1_024
 BLOCK_SHINGLES = 2_000_000
+FILTER_SLOTS = 1 << 20
 BINS = 20  # of similarity between the threshold and 1
 
 SIGNED = T.StructType(
@@ -99,19 +101,19 @@ def _sign(column: pa.Array) -> dict[str, pa.Array]:
             continue
         keys.append(_set_key(h, some))
         short = (h >> np.uint64(32)).astype(np.uint32)
-        signature = np.empty((len(some), TREES * MAX_DEPTH), np.uint32)
+        signature = np.empty((len(some), TREES * MAX_DEPTH), np.uint16)
         for k in range(TREES * MAX_DEPTH):
-            signature[:, k] = np.minimum.reduceat(short * _A[k] + _B[k], some)
+            signature[:, k] = np.minimum.reduceat(short * _A[k] + _B[k], some) & np.uint32(0xFFFF)
         signatures.append(signature)
     n = np.concatenate(counts) if counts else np.zeros(len(column), np.int64)
     key = np.concatenate(keys) if keys else np.zeros((0, 16), np.uint8)
-    signature = np.concatenate(signatures) if signatures else np.zeros((0, TREES * MAX_DEPTH), np.uint32)
+    signature = np.concatenate(signatures) if signatures else np.zeros((0, TREES * MAX_DEPTH), np.uint16)
     return {"n_shingles": pa.array(n, pa.int64()), "key": _fixed(key, n > 0), "signature": _fixed(signature, n > 0)}
 
 
 def _prefixes(signatures: list[bytes], depth: int) -> np.ndarray:
     """Hashes of the prefixes of all labels: a row per class, a column per tree."""
-    labels = np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, TREES, MAX_DEPTH)[:, :, :depth]
+    labels = np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, TREES, MAX_DEPTH)[:, :, :depth]
     out = np.zeros(labels.shape[:2], np.uint64)
     for k in range(depth):
         out = tb.mix(out + labels[:, :, k].astype(np.uint64) + np.uint64(1))
@@ -221,12 +223,12 @@ def _verify_groups(depth: int, before: int):
 
 def _meeting(classes: DataFrame, depth: int) -> DataFrame:
     """Edges (u, v) from every class that meets others at `depth` to the least one of its node in each tree."""
-    width = 4 * MAX_DEPTH
+    width = 2 * MAX_DEPTH
     places = classes.select(
         "node",
         F.explode(
             F.expr(
-                f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(signature, t * {width} + 1, {4 * depth})))"
+                f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(signature, t * {width} + 1, {2 * depth})))"
             )
         ).alias("place"),
     )
@@ -235,6 +237,17 @@ def _meeting(classes: DataFrame, depth: int) -> DataFrame:
     return places.join(hubs, "place").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
+def _asked(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of `texts` whose id may be in `placed`, so that other texts are not shuffled: ids share FILTER_SLOTS
+    slots, and the table of used slots is never larger than that."""
+
+    def slot(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS)).alias("_slot")
+
+    used = F.broadcast(placed.select(slot("doc")).distinct())
+    return texts.withColumn("_slot", slot("_id")).join(used, "_slot", "left_semi").drop("_slot")
+
+
 def _round(texts: DataFrame, classes: DataFrame, depth: int, before: int) -> DataFrame:
     """Links between classes that meet at `depth` and not at `before`."""
     cluster = components(_meeting(classes, depth)).withColumnRenamed("root", "cluster")
@@ -250,7 +263,7 @@ def _round(texts: DataFrame, classes: DataFrame, depth: int, before: int) -> Dat
         "cluster", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
         "node", "block", "key", "signature", "doc",
     )
-    full = paired.join(texts, texts["_id"].eqNullSafe(paired["doc"])).drop("_id", "doc")
+    full = paired.join(_asked(texts, placed), F.col("_id").eqNullSafe(F.col("doc"))).drop("_id", "doc")
     ordered = full.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right", "node")
     return ordered.mapInArrow(_verify_groups(depth, before), VERIFIED)
 
@@ -353,15 +366,13 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc
     classed = _classed(joined).select(F.col("class_id").alias("_id"), F.col("class_th").alias("_th")).distinct()
     blank = joined.rows.where(F.col("key").isNull()).select("_id", "_th").distinct()
     kept = materialize(classed.unionByName(blank), "kept")
-    columns = docs.columns
-    keyed = docs.toDF(*(f"c{i}" for i in range(len(columns))))
-    key, body = (F.col(f"c{columns.index(c)}") for c in (id_col, text))
-    out = keyed.withColumn("_h", F.xxhash64(body)).join(
-        kept, key.eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi"
+    placed, place, back = by_place(docs)
+    out = placed.withColumn("_h", F.xxhash64(place(text))).join(
+        kept, F.col(place(id_col)).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi"
     )
     if joined.rows.groupBy("_id", "_th").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([f"c{columns.index(id_col)}", "_h"])  # rows repeated as they are
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))
+        out = out.dropDuplicates([place(id_col), "_h"])  # rows repeated as they are
+    return back(out)
 
 
 @query("op3_ngram_jaccard_join")
