@@ -3,10 +3,9 @@
 Texts with equal sets of shingles are one class, found by a 128-bit hash of the set; only classes go on, and copies are
 never expanded. A class has a signature of TREES labels of MAX_DEPTH min-hashes, 16 bits
 of each. The labels of one tree, sorted, are a
-prefix trie; two classes match at depth d if they meet in a node of depth d of any trie. The join starts at the deepest
-nodes. The similarities that verification finds tell how many links a depth must have missed (a link of similarity s
-meets with probability 1 - (1 - s^d)^TREES); prefixes are shortened, straight to the depth for which the estimate reaches
-RECALL, until it does. Each round verifies only pairs that did not meet deeper.
+prefix trie; two classes match at depth d if they meet in a node of depth d of any trie. A link of similarity s meets with
+probability 1 - (1 - s^d)^TREES; the join uses the greatest depth at which links of the least similarity, the hardest to
+find, reach RECALL. So no link is less likely to be found because many others are more alike.
 
 Verification is exact. Classes that meet are brought together by connected components of the tries' nodes (each member
 linked to the least one, so edges grow with members, not pairs). A component is cut into blocks of bounded size, and
@@ -131,26 +130,22 @@ class _Group:
     sets: list
 
 
-def _verify(g: _Group, depth: int, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes, their links, the least node each is linked with through the group, and found links by similarity.
-    Pairs count that meet at `depth` and not at `before` (0: no depth before)."""
+def _verify(g: _Group, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, their links, and the least node each is linked with through the group. Pairs count that meet at `depth`."""
     cluster, left, right = g.key
     m = len(g.nodes)
     node, block = np.array(g.nodes, np.int64), np.array(g.blocks, np.int64)
     now = _prefixes(g.signatures, depth)
-    deeper = _prefixes(g.signatures, before) if before else None
     size = np.array([len(s) for s in g.sets])
     first = np.concatenate([[0], np.cumsum(size)])
     flat = np.unique(np.concatenate(g.sets), return_inverse=True)[1]
     marked = np.zeros(int(flat.max()) + 1, bool)
-    links, bins = np.zeros(m, np.int64), np.zeros(BINS + 1, np.int64)
+    links = np.zeros(m, np.int64)
     least = node.copy()
     num, den = SIMILAR
     for i in range(m):
         rest = slice(i + 1, m)
         meet = (now[rest] == now[i]).any(1)
-        if deeper is not None:
-            meet &= ~(deeper[rest] == deeper[i]).any(1)
         if left != right:
             meet &= block[rest] != block[i]
         other = np.flatnonzero(meet) + i + 1
@@ -166,33 +161,30 @@ def _verify(g: _Group, depth: int, before: int) -> tuple[np.ndarray, np.ndarray,
         marked[own] = False
         union = count + size[i] - common
         good = den * common >= num * union
-        other, s = other[good], common[good] / union[good]
+        other = other[good]
         if not len(other):
             continue
         links[i] += len(other)
         links[other] += 1
-        np.add.at(bins, ((s - num / den) / (1 - num / den) * BINS).astype(np.int64), 1)
         joined = np.unique(least[np.append(other, i)])
         if len(joined) > 1:
             least[np.isin(least, joined)] = joined[0]
-    return node, links, least, bins
+    return node, links, least
 
 
-VERIFIED = "node long, links long, least long, bins array<long>"
+VERIFIED = "node long, links long, least long"
 
 
-def _verify_groups(depth: int, before: int):
+def _verify_groups(depth: int):
     def finish(g: _Group | None) -> Iterator[pa.RecordBatch]:
         if g is None or len(g.nodes) < 2:
             return
-        node, links, least, bins = _verify(g, depth, before)
+        node, links, least = _verify(g, depth)
         some = np.flatnonzero(links)
         if not len(some):
             return
-        told = [bins.tolist()] + [None] * (len(some) - 1)  # once per group
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node[some]), pa.array(links[some]), pa.array(least[some]), pa.array(told, pa.list_(pa.int64()))],
-            names=["node", "links", "least", "bins"],
+            [pa.array(node[some]), pa.array(links[some]), pa.array(least[some])], names=["node", "links", "least"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +240,8 @@ def _asked(texts: DataFrame, placed: DataFrame) -> DataFrame:
     return texts.withColumn("_slot", slot("_id")).join(used, "_slot", "left_semi").drop("_slot")
 
 
-def _round(texts: DataFrame, classes: DataFrame, depth: int, before: int) -> DataFrame:
-    """Links between classes that meet at `depth` and not at `before`."""
+def _linked(texts: DataFrame, classes: DataFrame, depth: int) -> DataFrame:
+    """Links between classes that meet at `depth`."""
     cluster = components(_meeting(classes, depth)).withColumnRenamed("root", "cluster")
     member = materialize(classes.join(cluster, "node"), "members")
     blocks = member.groupBy("cluster").agg(
@@ -265,7 +257,7 @@ def _round(texts: DataFrame, classes: DataFrame, depth: int, before: int) -> Dat
     )
     full = paired.join(_asked(texts, placed), F.col("_id").eqNullSafe(F.col("doc"))).drop("_id", "doc")
     ordered = full.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right", "node")
-    return ordered.mapInArrow(_verify_groups(depth, before), VERIFIED)
+    return ordered.mapInArrow(_verify_groups(depth), VERIFIED)
 
 
 def _meets(similarity: float, depth: int) -> float:
@@ -283,6 +275,13 @@ def next_depth(bins: np.ndarray, depth: int, recall: float = RECALL) -> int:
     return 1
 
 
+def sure_depth(recall: float = RECALL) -> int:
+    """The greatest depth at which even links of the least similarity reach `recall`."""
+    least = np.zeros(BINS + 1)
+    least[0] = 1
+    return next_depth(least, MAX_DEPTH, recall)
+
+
 @dataclass
 class Joined:
     """rows: doc_id, text hash, key per document. classes: node, key, doc (its least id), th, copies. links: node,
@@ -313,20 +312,7 @@ def similarity_join(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         "classes",
     )
     texts = source.select("_id", "text")
-    rounds, bins, depth, before = [], np.zeros(BINS + 1, np.int64), MAX_DEPTH, 0
-    while True:
-        made = materialize(_round(texts, classes, depth, before), "links")
-        rounds.append(made)
-        counted = made.where(F.col("bins").isNotNull()).select(F.posexplode("bins").alias("bin", "n"))
-        for r in counted.groupBy("bin").agg(F.sum("n").alias("n")).collect():
-            bins[r["bin"]] += r["n"]
-        target = next_depth(bins, depth, recall)
-        if target == depth:
-            break
-        depth, before = target, depth
-    found = rounds[0]
-    for made in rounds[1:]:
-        found = found.unionByName(made)
+    found = materialize(_linked(texts, classes, sure_depth(recall)), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("u"), F.col("least").alias("v")))
     return Joined(rows.drop("signature"), classes.drop("signature"), links, roots)
