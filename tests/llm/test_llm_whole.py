@@ -3,8 +3,9 @@
 import random
 
 import brute
+import numpy as np
 
-from colloquy.llm import ngramjoin
+from colloquy.llm import lmscore, ngramjoin
 
 
 def test_links_at_the_threshold_beside_a_hot_group(spark):
@@ -29,3 +30,25 @@ def test_no_similarity_is_found_less_often_than_the_target():
     depth = ngramjoin.sure_depth()
     assert 1 - (1 - 0.8**depth) ** ngramjoin.TREES >= ngramjoin.RECALL
     assert ngramjoin.sure_depth(0.5) > depth
+
+
+def test_contexts_never_share_counts(spark, monkeypatch):
+    """As many entries as there are different contexts and nodes, and their exact counts, however they are bucketed."""
+    monkeypatch.setattr(lmscore, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 1000)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300))) for _ in range(60)]
+    model, _ = lmscore.train(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    for k, width in enumerate((3, 5)):
+        counts = {}
+        for t in texts:
+            data = t.encode() + bytes([lmscore.END_BYTE])
+            for i, b in enumerate(data):
+                context = data[max(0, i - width) : i]
+                first = model.code.first[b]
+                for j in range(first, first + model.code.size[b]):
+                    n = counts.setdefault((context, model.code.node[j]), [0, 0])
+                    n[model.code.bit[j]] += 1
+        want = sorted(int(lmscore._scaled(np.array([a]), np.array([b]))[0]) for a, b in counts.values())
+        assert len(model.odds[k].event) == len(counts)
+        assert sorted(model.odds[k].odds.tolist()) == want
