@@ -4,8 +4,9 @@ import random
 
 import brute
 import numpy as np
+import pytest
 
-from colloquy.llm import lmscore, ngramjoin
+from colloquy.llm import catalog, lmscore, ngramjoin
 
 
 def test_links_at_the_threshold_beside_a_hot_group(spark):
@@ -52,3 +53,17 @@ def test_contexts_never_share_counts(spark, monkeypatch):
         want = sorted(int(lmscore._scaled(np.array([a]), np.array([b]))[0]) for a, b in counts.values())
         assert len(model.odds[k].event) == len(counts)
         assert sorted(model.odds[k].odds.tolist()) == want
+
+
+def test_all_training_texts_teach_the_weights(spark, tmp_path):
+    """Also those of which the hash is no multiple of sixteen."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"the cat {i % 7} sat on the mat and the dog {i % 5} ran off ") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) != 0)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    training = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
+    got = {r.doc_id: r.score for r in catalog.QUERIES["op1_lm_scoring"](spark, str(tmp_path)).collect()}
+    want = {r.doc_id: r.score for r in lmscore.score(docs, training, training).collect()}
+    assert got == pytest.approx(want, rel=1e-3)
