@@ -2,8 +2,10 @@
 
 The terms of a text are its words (ASCII letters folded) and their beginnings of four, five and six bytes, so inflected
 forms share terms. All are hashed to 2^TERM_BITS. On a bounded sample of labelled rows (`MAX_ROWS`, those with the least
-hash of their id) Spark counts the documents of either label per term and keeps the terms with the strongest association
-(G statistic). A factorization machine learns a weight per kept term and, through a short vector per term, a weight for
+hash of their id) Spark counts the documents of either label per term and keeps, by rank whatever the size of the sample,
+the terms with the strongest association (G statistic) and those that part the documents most evenly, since a term that
+matters only together with another has no association of its own. No association is too weak to count; a term learns at
+a pace of G / (G + 2 ln(terms)), as the strongest of so many terms without meaning would have about 2 ln(terms). A factorization machine learns a weight per kept term and, through a short vector per term, a weight for
 every pair of terms that meet in one text; a linear model cannot tell an insult alone from an insult with the mention of
 a group. It is fitted on the sample's kept terms, which are small numbers of small rows, and scores whole texts where
 they are, without a shuffle.
@@ -33,7 +35,8 @@ TERM_BITS = 20
 BEGINNINGS = (4, 5, 6)
 MAX_ROWS = 50_000  # labelled rows that the fit may use
 MAX_TERMS = 4_096  # terms kept
-MIN_G = 20.0  # least association of a kept term
+EVEN_TERMS = 256  # of them for parting the documents evenly
+EVEN_PACE = 0.5  # of their vectors at least
 FACTORS = 8
 EPOCHS = 40
 PENALTY = 1e-4
@@ -66,11 +69,6 @@ def _term_rows(column: pa.Array, keep: np.ndarray | None = None) -> tuple[np.nda
     return pairs >> TERM_BITS, pairs & ((1 << TERM_BITS) - 1)
 
 
-def _lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
-    offsets = np.searchsorted(row, np.arange(rows + 1))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-
-
 def _numbering(terms: np.ndarray) -> np.ndarray:
     keep = np.full(1 << TERM_BITS, -1, np.int32)
     keep[terms] = np.arange(len(terms))
@@ -96,19 +94,22 @@ class FactorizationMachine:
         return self.bias + linear + 0.5 * pairs
 
 
-def _fit(terms: np.ndarray, lists: list[list[int]], label: np.ndarray, seed: int = 7) -> FactorizationMachine:
-    """AdaGrad on the logistic loss over small batches in a seeded order."""
+def _fit(
+    terms: np.ndarray, lists: list[np.ndarray], label: np.ndarray, pace: np.ndarray, pair_pace: np.ndarray, seed: int = 7
+) -> FactorizationMachine:
+    """AdaGrad on the logistic loss over small batches in a seeded order. The steps of a term's weight and vector are
+    scaled by its pace."""
     rng = np.random.default_rng(seed)
     n, m = len(label), len(terms)
     rate = (label.sum() + 0.5) / (n + 1)
     model = FactorizationMachine(
-        terms, float(np.log(rate / (1 - rate))), np.zeros(m), rng.normal(0, 0.02, (m, FACTORS))
+        terms, float(np.log(rate / (1 - rate))), np.zeros(m), rng.normal(0, 0.02, (m, FACTORS)) * pair_pace[:, None]
     )
     if not m or not 0 < label.sum() < n:
         return model
     size = np.array([len(x) for x in lists])
     first = np.concatenate([[0], np.cumsum(size)])
-    flat = np.array([t for x in lists for t in x], np.int64)
+    flat = np.concatenate(lists)
     w, v = model.weights, model.vectors
     gw, gv, gb = np.full(m, 1e-4), np.full((m, FACTORS), 1e-4), 1e-4
     for _ in range(EPOCHS):
@@ -118,19 +119,20 @@ def _fit(terms: np.ndarray, lists: list[list[int]], label: np.ndarray, seed: int
             count = size[batch]
             row = np.repeat(np.arange(len(batch)), count)
             t = flat[np.repeat(first[batch], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-            sums = np.zeros((len(batch), FACTORS))
-            np.add.at(sums, row, v[t])
-            squares = np.bincount(row, (v[t] ** 2).sum(1), len(batch))
+            t = t.astype(np.int64)
+            vt = v[t]
+            sums = np.stack([np.bincount(row, vt[:, f], len(batch)) for f in range(FACTORS)], 1)
+            squares = np.bincount(row, (vt**2).sum(1), len(batch))
             margin = model.bias + np.bincount(row, w[t], len(batch)) + 0.5 * ((sums**2).sum(1) - squares)
             error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label[batch]) / len(batch)
             dw = np.bincount(t, error[row], m) + PENALTY * w
-            dv = PENALTY * v
-            np.add.at(dv, t, error[row, None] * (sums[row] - v[t]))
+            slope = error[row, None] * (sums[row] - vt)
+            dv = PENALTY * v + np.stack([np.bincount(t, slope[:, f], m) for f in range(FACTORS)], 1)
             gw += dw**2
             gv += dv**2
             gb += error.sum() ** 2
-            w -= 0.1 * dw / np.sqrt(gw)
-            v -= 0.02 * dv / np.sqrt(gv)
+            w -= 0.1 * pace * dw / np.sqrt(gw)
+            v -= 0.02 * pair_pace[:, None] * dv / np.sqrt(gv)
             model.bias -= 0.05 * error.sum() / np.sqrt(gb)
     return model
 
@@ -180,23 +182,32 @@ def fit(
             f" + CASE WHEN {rest} > 0 THEN {rest} * ln({rest} / ({without})) ELSE 0D END)"
         )
 
-    best = (
-        counted.where("term >= 0")
-        .withColumn("g", F.expr(f"2 * ({part('yes', yes)} + {part('no', no)})"))
-        .where(F.col("g") >= MIN_G)
-        .orderBy(F.desc("g"), "term")
-        .limit(MAX_TERMS)
-        .collect()
+    ranked = materialize(
+        counted.where("term >= 0").select(
+            "term", F.expr(f"2 * ({part('yes', yes)} + {part('no', no)})").alias("g"),
+            F.expr(f"least(yes + no, {no + yes} - yes - no)").alias("even"),
+        ),
+        "ranked",
+    )
+    even, best = (
+        {r["term"]: max(r["g"], 0.0) for r in ranked.where(f"{by} > 0").orderBy(F.desc(by), "term").limit(n).collect()}
+        for by, n in (("even", EVEN_TERMS), ("g", MAX_TERMS))
     )
-    terms = np.array([r["term"] for r in best], np.int64)
+    terms = list(dict.fromkeys([*list(best)[: MAX_TERMS - EVEN_TERMS], *even, *best]))[:MAX_TERMS]
+    strength = np.array([even.get(t, best.get(t)) for t in terms])
+    pace = strength / (strength + 2 * np.log(1 + ranked.count()))
+    pair_pace = np.where(np.isin(terms, list(even)), np.maximum(pace, EVEN_PACE), pace)
+    terms = np.array(terms, np.int64)
 
     def kept(column: pa.Array) -> dict[str, pa.Array]:
         row, number = _term_rows(column, _numbering(terms))
-        return {"_terms": _lists(row, number, len(column))}
+        at = np.searchsorted(row, np.arange(1, len(column)))
+        return {"_terms": pa.array([x.astype(np.int16).tobytes() for x in np.split(number, at)], pa.binary())}
 
-    fields = T.StructType([T.StructField("_terms", T.ArrayType(T.IntegerType()))])
-    rows = with_columns(sample, "_text", kept, fields).orderBy(F.xxhash64("_id"), "_id").limit(max_rows).collect()
-    return _fit(terms, [r["_terms"] for r in rows], np.array([r["_label"] > 0 for r in rows], float))
+    fields = T.StructType([T.StructField("_terms", T.BinaryType())])
+    rows = with_columns(sample, "_text", kept, fields).orderBy(F.xxhash64("_id"), "_id").limit(max_rows).toArrow()
+    lists = [np.frombuffer(x.as_py(), np.int16) for x in rows["_terms"]]
+    return _fit(terms, lists, (np.asarray(rows["_label"]) > 0).astype(float), pace, pair_pace)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> DataFrame:

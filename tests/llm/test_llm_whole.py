@@ -6,7 +6,7 @@ import brute
 import numpy as np
 import pytest
 
-from colloquy.llm import catalog, lmscore, ngramjoin
+from colloquy.llm import catalog, lmscore, ngramjoin, toxicity
 
 
 def test_links_at_the_threshold_beside_a_hot_group(spark):
@@ -67,3 +67,24 @@ def test_all_training_texts_teach_the_weights(spark, tmp_path):
     got = {r.doc_id: r.score for r in catalog.QUERIES["op1_lm_scoring"](spark, str(tmp_path)).collect()}
     want = {r.doc_id: r.score for r in lmscore.score(docs, training, training).collect()}
     assert got == pytest.approx(want, rel=1e-3)
+
+
+def test_toxic_texts_are_found_on_the_smallest_tables(spark):
+    """Few labelled rows give no term a strong association; the best ones count all the same."""
+    sf = "/root/testdata/sf0.001"
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None}
+    rows = [r for r in catalog.QUERIES["op10_toxicity"](spark, sf).collect() if r.doc_id in label]
+    toxic = [r for r in rows if label[r.doc_id]]
+    assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic)
+    assert sum(r.predicted for r in rows if not label[r.doc_id]) <= 0.05 * len(rows)
+
+
+def test_terms_that_matter_only_together_are_kept(spark):
+    """Toxic if just one of two words is there: neither has any association alone."""
+    fill = [" ".join(f"w{(i * 7 + k * k) % 50}" for k in range(8)) for i in range(2000)]
+    rows = [(i, fill[i] + " grunkle" * (i // 2 % 2) + " zorblin" * (i // 4 % 2)) for i in range(2000)]
+    labels = [(i, int(i // 2 % 2 != i // 4 % 2)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs.where("doc_id < 1500"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = toxicity.score(docs.where("doc_id >= 1500"), model).collect()
+    assert sum((r.score >= 0.5) == bool(labels[r.doc_id][1]) for r in held) >= 0.9 * len(held)
