@@ -154,6 +154,7 @@ _COMBINE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
     "max": (F.max, lambda a, b: F.greatest(a, b)),
     "min": (F.min, lambda a, b: F.least(a, b)),
+    "xor": (F.bit_xor, lambda a, b: F.coalesce(a, F.lit(0)).bitwiseXOR(F.coalesce(b, F.lit(0)))),
 }
 
 
@@ -164,9 +165,11 @@ def running(
     measures: dict[str, tuple[str, Column]],
     inclusive: bool = True,
 ) -> DataFrame:
-    """Running sum / max / min up to each row (the row itself included or not),
-    in `order` inside each key, on a frame from `with_segments`. The totals
-    carried into a segment are one row per segment of the split keys."""
+    """Running sum / max / min / xor up to each row (the row itself included or
+    not), in `order` inside each key, on a frame from `with_segments`. Over no
+    value a sum and an xor are 0, a maximum and a minimum are null, whether or not
+    a key is split. The totals carried into a segment are one row per segment of
+    the split keys."""
     keys = list(keys)
     plain = not _is_split(segmented)
     inside = (
@@ -176,7 +179,10 @@ def running(
     )
     if plain:
         return segmented.withColumns(
-            {out: _COMBINE[kind][0](col).over(inside) for out, (kind, col) in measures.items()}
+            {
+                out: _COMBINE[kind][1](_COMBINE[kind][0](col).over(inside), F.lit(None))
+                for out, (kind, col) in measures.items()
+            }
         )
     before = (
         Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)

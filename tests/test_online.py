@@ -88,3 +88,21 @@ def test_admission_in_arrival_order(spark, limit):
             owner.setdefault(m[1], m[2])
             want = 200
         assert got[m[0]] == want
+
+
+@pytest.mark.parametrize("limit", [5, 8, 10_000])
+def test_quarantine_gate_sees_earlier_outcomes_only(spark, limit):
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.4 else f"c{rng.randrange(15)}", i, rng.randrange(3_000),
+             "failure" if rng.random() < 0.6 else "score") for i in range(500)]
+    df = spark.createDataFrame(
+        [(c, s, t, k, "timeout" if k == "failure" else None) for c, s, t, k in rows],
+        "conversation_id string, seq long, at_us long, kind string, error_code string",
+    )
+    got = {r.seq: (r.failures_before, r.blocked) for r in online.quarantine_state(df, limit).collect()}
+    want, streak = {}, {}
+    for c, s, _, k in sorted(rows, key=lambda r: (r[2], r[1])):
+        n = streak.get(c, 0)
+        want[s] = (n, n >= 3)
+        streak[c] = n + 1 if k == "failure" else 0
+    assert got == want

@@ -134,3 +134,22 @@ def test_plain_window_where_nothing_is_hot(spark, frame):
     _, df = frame
     plan = skew.trailing(df, ["k"], ["t", "id"], 5, F.col("id"), "h", 10_000)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("limit", [3, 20, 10_000])
+def test_running_over_earlier_rows_only(frame, limit):
+    """The first row of a key has nothing before it: 0 for sums and xor, null for extremes, at any limit."""
+    rows, df = frame
+    kinds = {"s": "sum", "hi": "max", "lo": "min", "x": "xor"}
+    for inclusive in (False, True):
+        seg = skew.with_segments(df, ["k"], "t", limit)
+        got = skew.running(seg, ["k"], ["t", "id"], {o: (k, F.col("v")) for o, k in kinds.items()}, inclusive)
+        want = {}
+        for group in _by_key(rows).values():
+            for i, r in enumerate(group):
+                vs = [g[3] for g in group[: i + inclusive]]
+                x = 0
+                for v in vs:
+                    x ^= v
+                want[r[0]] = (sum(vs), max(vs, default=None), min(vs, default=None), x)
+        assert {r.id: (r.s, r.hi, r.lo, r.x) for r in got.collect()} == want
