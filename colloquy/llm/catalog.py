@@ -1,4 +1,6 @@
 """All registered queries of this subpackage."""
 
-from colloquy.llm import chat, decontam, linededup, lmscore, mixing, ngramjoin, pii, quality, simhash, toxicity, warc  # noqa: F401
+from colloquy.llm import (  # noqa: F401
+    chat, convtrie, decontam, linededup, lmscore, mixing, ngramjoin, pii, quality, simhash, toxicity, warc, whitening,
+)
 from colloquy.llm.registry import ORACLES, QUERIES  # noqa: F401
