@@ -59,10 +59,10 @@ class Evaluation:
     validation: DataFrame
 
 
-def evaluate(examples: DataFrame, alpha: float = 1.0, width: int = 1 << 18, max_iter: int = 100) -> Evaluation:
+def evaluate(examples: DataFrame, alpha: float = 1.0, width: int = 1 << 18, tol: float = 1e-7) -> Evaluation:
     """Fit on the training split, measure on the validation and the test split."""
     train, validation, test = (examples.filter(F.col("split") == s) for s in ("train", "validation", "test"))
-    model = regression.fit(train, alpha, width, max_iter)
+    model = regression.fit(train, alpha, width, tol)
     if metrics.non_finite(model.predict(train)).first().non_finite:
         raise NotApproved("TN_R14_NON_FINITE_PREDICTION")
     predictions = materialize(model.predict(test), "predictions")

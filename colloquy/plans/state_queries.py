@@ -258,7 +258,7 @@ def outcome_timeline(spark, sf):
     SELECT message_id, (coalesce(k, 0) + 1)::INT AS size, concat_ws(',', prior, message_id) AS history FROM cust LEFT JOIN h USING (message_id)""",
 )
 def online_histories(spark, sf):
-    rows = online.online_histories(event_messages(spark, sf))
+    rows = online.online_histories(event_messages(spark, sf), texts=False)
     return rows.select("message_id", F.size("history_ids").alias("size"), F.array_join("history_ids", ",").alias("history"))
 
 

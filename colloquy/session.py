@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,16 +20,20 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="colloquy-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where the
-    session names none and runs in local mode."""
+    """Shared folder named by the cluster; a temporary one of this process only
+    where the session names none and runs in local mode."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if not configured:
         master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-        configured = tempfile.mkdtemp(prefix="colloquy-")
-        spark.conf.set(CHECKPOINT_CONF, configured)
+        configured = _own_dir()
     return configured.rstrip("/")
 
 

@@ -7,10 +7,13 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.operators import metrics
-from colloquy.plans import features, regression, vectors
+from colloquy.plans import features, regression, sparse_ridge, vectors
+from colloquy.session import materialize
 
 TEXTS = ["the cat sat", "the dog sat on the mat", "a cat and a dog", "the the the", "mat mat cat", "only once here"]
 
@@ -56,24 +59,31 @@ def test_ridge_equals_closed_form(spark, solver):
 
 def test_blocks_equal_term_weights(spark):
     """The hashed blocks hold the same weights as the exact term rows."""
-    rows = [(str(i), s, [TEXTS[i - 1]] if i else [], 0.0) for i, s in enumerate(TEXTS)]
+    rows = [(str(i), s, [TEXTS[i - 1]] if i else [], float(i)) for i, s in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "example_id string, text_clean string, context_clean array<string>, label_score double")
     width = 1 << 14
-    hashed = regression._hashed(df, width)
-    assembled = regression._assemble(hashed, regression._idf(hashed))
-    counts = features.word_counts(df, "text_clean")
-    exact = features.weigh(counts, features.inverse_frequencies(counts, F.lit(len(TEXTS))))
+    counts = materialize(sparse_ridge.pack(regression._hashed(df, width), regression.COUNTS, width), "counts")
+    blocks, _ = regression.weighted_blocks(counts, width)
+    exact_counts = features.word_counts(df, "text_clean")
+    exact = features.weigh(exact_counts, features.inverse_frequencies(exact_counts, F.lit(len(TEXTS))))
     want = {}
     for r in exact.collect():
         want.setdefault(r.example_id, []).append(r.weight)
-    for r in assembled.collect():
-        vector = r.features.toArray()
-        assert len(vector) == 3 * width
+    rows = {}
+    for b in blocks.collect():
+        block = sparse_ridge._Block(*(np.frombuffer(b[c], k) for c, k in
+                                      (("first", np.int64), ("column", np.int32), ("value", float), ("label", float))))
+        for i, label in enumerate(block.label):
+            dense = np.zeros(3 * width)
+            own = slice(block.first[i], block.first[i + 1])
+            dense[block.column[own]] = block.value[own]
+            rows[str(int(label))] = dense
+    assert rows.keys() == want.keys()
+    for key, vector in rows.items():
         word = vector[:width]
-        assert np.allclose(sorted(word[word > 0]), sorted(want[r.example_id]), atol=1e-12)
+        assert np.allclose(sorted(word[word > 0]), sorted(want[key]), atol=1e-12)
         assert np.linalg.norm(vector[width : 2 * width]) == pytest.approx(1.0)
-        context = np.linalg.norm(vector[2 * width :])
-        assert context == pytest.approx(0.5 if r.context_clean else 0.0)
+        assert np.linalg.norm(vector[2 * width :]) == pytest.approx(0.5 if key != "0" else 0.0)
 
 
 def _examples(spark, signal, seed):
@@ -128,6 +138,35 @@ def test_first_version_of_a_month(spark):
     assert got == {1: "mood-2024.01.4", 2: "mood-2024.02.0"}
 
 
-def test_fit_that_does_not_settle_is_an_error(spark):
-    with pytest.raises(RuntimeError, match="did not settle"):
-        regression.fit(_examples(spark, True, 1), width=1 << 10, max_iter=2, strict=True)
+def test_fit_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(sparse_ridge, "SAMPLE_ROWS", 2)
+    with pytest.raises(sparse_ridge.NotSettled):
+        regression.fit(_examples(spark, True, 1), width=1 << 10, max_passes=3)
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_sparse_ridge_equals_closed_form(spark, parts, monkeypatch):
+    """Sparse, dense and empty rows, in one part and in more than are added up at once."""
+    monkeypatch.setattr(sparse_ridge, "BLOCK_VALUES", 50)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 30)) * (rng.random((200, 30)) < 0.3) * rng.choice([0.1, 1, 8], 30)
+    x[3] = 0
+    y = x @ rng.normal(size=30) + 1.5 + rng.normal(size=200)
+    rows = [
+        (i, Vectors.dense(r) if i % 5 == 0 else Vectors.sparse(30, [(int(k), float(r[k])) for k in np.flatnonzero(r)]), float(v))
+        for i, (r, v) in enumerate(zip(x, y))
+    ] + [(200, None, 1.0), (201, Vectors.dense(x[0]), None)]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("features", VectorUDT()),
+                           T.StructField("label_score", T.DoubleType())])
+    df = spark.createDataFrame(rows, schema).repartition(parts)
+    blocks = materialize(sparse_ridge.pack(df, ["features"], 30), "blocks")
+    model = sparse_ridge.solve(blocks, 30, 2.0, tol=1e-10)
+    w, b = _closed_ridge(x, y, 2.0)
+    assert np.allclose(model.coefficients, w, atol=1e-8) and model.intercept == pytest.approx(b, abs=1e-8)
+    assert model.gradient <= 1e-10
+    got = {r.id: r.prediction for r in sparse_ridge.predict(df, model, ["features"], 30).collect()}
+    assert got[200] is None and np.allclose([got[i] for i in range(200)], x @ w + b)
+    monkeypatch.setattr(sparse_ridge, "SAMPLE_ROWS", 20)
+    assert np.allclose(sparse_ridge.solve(blocks, 30, 2.0, tol=1e-10).coefficients, w, atol=1e-8)
+    none = sparse_ridge.solve(materialize(sparse_ridge.pack(df.filter("id < 0"), ["features"], 30), "none"), 30)
+    assert not none.coefficients.any() and none.intercept == 0

@@ -36,7 +36,7 @@ def _lines(spark, signal, customers=60, seed=4):
 
 @pytest.mark.parametrize("signal", [True, False])
 def test_gate(spark, signal):
-    result = offline.run(_lines(spark, signal), skip_minimums=True, width=1 << 10, max_iter=30)
+    result = offline.run(_lines(spark, signal), skip_minimums=True, width=1 << 10, tol=1e-6)
     assert result.gate.first().passed is signal
     assert result.predictions.filter("text_clean like '%@%'").isEmpty()
     assert result.by_persona.count() <= 4
