@@ -38,10 +38,14 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", ALPHABET)
 
 
-def _uuid(page_id: Column) -> Column:
-    h = F.md5(F.coalesce(page_id.cast("string"), F.lit("")))
-    parts = [F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+def _record_id(page_id: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+
+
+def _one_line(url: Column) -> Column:
+    """A line break would end the header field."""
+    text = F.coalesce(url.cast("string"), F.lit(""))
+    return F.replace(F.replace(text, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
 def _http_head(length: Column) -> Column:
@@ -56,11 +60,11 @@ def _header(kind: Column, head: Column) -> Column:
     block = F.length(head) + F.when(kind == "response", F.col("payload_bytes")).otherwise(F.lit(0))
     revisit = F.concat(
         F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "),
-        _uuid(F.col("refers_to")), F.lit("\r\n"),
+        _record_id(F.col("refers_to")), F.lit("\r\n"),
     )
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), _uuid(F.col("page_id")),
-        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.coalesce(F.col("url").cast("string"), F.lit("")),
+        F.lit("WARC/1.1\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), _record_id(F.col("page_id")),
+        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), _one_line(F.col("url")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit("\r\n"),
         F.when(kind == "revisit", revisit).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), block.cast("string"),
@@ -129,6 +133,39 @@ def read_archive(archive: Archive) -> DataFrame:
     )
 
 
+def parse_records(records: DataFrame, id_type: str = "long") -> DataFrame:
+    """What the bytes `record` of `read_archive` say: page_id, record_type, refers_to, payload_bytes and payload_digest.
+    Length and digest of a response are those of the bytes in its block; a revisit has no payload of its own, so they are
+    those of the stored payload that its address leads to."""
+    end = F.lit("\r\n\r\n")
+    # one character a byte
+    text = records.select(
+        F.decode("record", "ISO-8859-1").alias("_text"), F.col("payload_bytes").alias("_bytes"),
+        F.col("payload_digest").alias("_digest"),
+    )
+    cut = text.withColumn("_head", F.substring_index("_text", "\r\n\r\n", 1))
+
+    def field(name: str, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract("_head", f"(?:^|\r\n){name}: {pattern}(?:\r\n|$)", 1), F.lit(""))
+
+    block = F.substring(
+        F.col("_text"), F.length("_head") + F.length(end) + 1, field("Content-Length", r"(\d+)").cast("int")
+    )
+    fields = cut.select(
+        field("WARC-Record-ID", "<urn:page:(.*)>").cast(id_type).alias("page_id"),
+        field("WARC-Type", r"(\S+)").alias("record_type"),
+        field("WARC-Refers-To", "<urn:page:(.*)>").cast(id_type).alias("refers_to"),
+        block.alias("_block"), "_bytes", "_digest",
+    )
+    own = F.substr(F.col("_block"), F.locate("\r\n\r\n", F.col("_block")) + F.length(end))
+    payload = fields.withColumn("_own", F.when(F.col("record_type") == "response", F.encode(own, "ISO-8859-1")))
+    return payload.select(
+        "page_id", "record_type", "refers_to",
+        F.coalesce(F.length("_own").cast("long"), F.col("_bytes")).alias("payload_bytes"),
+        F.coalesce(base32_sha1(F.col("_own")), F.col("_digest")).alias("payload_digest"),
+    )
+
+
 _DIGITS = " || ".join(
     f"substr('{ALPHABET}', CAST(1 + ((g{k} >> {35 - 5 * j}) & 31) AS INTEGER), 1)" for k in range(4) for j in range(8)
 )
@@ -146,5 +183,5 @@ FROM g
 
 @query("op8_warc", _SQL)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = read_archive(write_archive(table(spark, sf_dir, "pages")))
+    records = parse_records(read_archive(write_archive(table(spark, sf_dir, "pages"))))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
