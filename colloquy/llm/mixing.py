@@ -79,7 +79,9 @@ def _scaled(cells: DataFrame, dimension: str, target: DataFrame) -> DataFrame:
 def rake(
     cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, max_sweeps: int = MAX_SWEEPS
 ) -> DataFrame:
-    """`cells` with `weight`, whose marginals are those of `targets`, or as near as `max_sweeps` sweeps come."""
+    """`cells` with `weight`, whose marginals are those of `targets`, and `marginal_error`, the largest difference that
+    is left between a marginal and its target. It is above `tolerance` only where `max_sweeps` sweeps do not do, as for
+    targets that no weights of the cells can have."""
     wanted = {d: _scaled(cells, d, t) for d, t in targets.items()}
     total = cells.agg(F.sum("tokens")).first()[0] or 1.0
     now = cells.withColumn("weight", F.col("tokens") / F.lit(total))
@@ -98,25 +100,36 @@ def rake(
         now = swept.select(*cells.columns, "weight")
         if (worst or 0.0) <= tolerance:
             break
-    return now
+    left = 0.0
+    for d, target in wanted.items():
+        sums = now.groupBy(F.col(d).alias("_v")).agg(F.sum("weight").alias("_sum"))
+        apart = target.join(sums, sums["_v"].eqNullSafe(target["v"]), "left").select(
+            F.abs(F.col("share") - F.coalesce("_sum", F.lit(0.0))).alias("_apart")
+        )
+        left = max(left, apart.agg(F.max("_apart")).first()[0] or 0.0)
+    return now.withColumn("marginal_error", F.lit(left))
 
 
 def mix(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, text: str = "text", id_col: str = "doc_id",
     temperatures: dict[str, float] = TEMPERATURES, seed: int = SEED,
 ) -> DataFrame:
-    """`docs` with topic, n_tokens, `probability` and `drawn`."""
-    made = ("topic", "n_tokens", "probability", "drawn")
+    """`docs` with topic, n_tokens, `probability`, `drawn` and `marginal_error` (see `rake`; the same in all rows)."""
+    made = ("topic", "n_tokens", "probability", "drawn", "marginal_error")
     measured = docs.drop(*made).withColumns({"topic": topic_of(text), "n_tokens": token_count(text)})
     cells = materialize(count_cells(measured), "cells")
     if targets is None:
         targets = {d: tempered(cells, d, temperatures[d]) for d in DIMENSIONS}
     rated = materialize(
-        rake(cells, targets).select(*DIMENSIONS, (F.col("weight") / F.col("tokens")).alias("rate")), "rates"
+        rake(cells, targets).select(
+            *DIMENSIONS, (F.col("weight") / F.col("tokens")).alias("rate"), "marginal_error"
+        ),
+        "rates",
     )
     top = rated.agg(F.max("rate")).first()[0] or 1.0
     chance = rated.select(
-        *(F.col(d).alias(f"{_OWN}{d}") for d in DIMENSIONS), (F.col("rate") / F.lit(top)).alias("probability")
+        *(F.col(d).alias(f"{_OWN}{d}") for d in DIMENSIONS), (F.col("rate") / F.lit(top)).alias("probability"),
+        "marginal_error",
     )
     same = reduce(lambda a, b: a & b, [measured[d].eqNullSafe(chance[f"{_OWN}{d}"]) for d in DIMENSIONS])
     joined = measured.join(chance, same, "left").drop(*(f"{_OWN}{d}" for d in DIMENSIONS))
@@ -126,10 +139,10 @@ def mix(
 
 def mix_sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text: str = "text") -> DataFrame:
     """The drawn rows of `docs` with their columns, topic, n_tokens and probability."""
-    return mix(docs, targets, text).where("drawn").drop("drawn")
+    return mix(docs, targets, text).where("drawn").drop("drawn", "marginal_error")
 
 
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "drawn")
+    return mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "drawn", "marginal_error")

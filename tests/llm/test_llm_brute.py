@@ -150,6 +150,7 @@ def test_raking(spark, texts):
     assert len(rows) == len(texts)
     for r in rows:
         assert r.probability == pytest.approx(rate[(r.source, r.lang, r.topic)] / top, abs=1e-5)
+        assert r.marginal_error < 1e-5
     assert 0 < sum(r.drawn for r in rows) <= len(rows)
 
 
@@ -166,6 +167,22 @@ def test_given_targets(spark):
     assert share["a"] / (share["a"] + share["b"]) == pytest.approx(0.75, abs=0.02)
 
 
+def test_targets_that_no_weights_have(spark):
+    """Each source has one language, but the targets disagree: what cannot be met is told."""
+    rows = [(i, "w w", "ab"[i % 2], "xy"[i % 2]) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+    def target(first, second, one, two):
+        return spark.createDataFrame([(first, one), (second, two)], "value string, weight double")
+
+    targets = {"source": target("a", "b", 3.0, 1.0), "lang": target("x", "y", 1.0, 1.0)}
+    cells = mixing.count_cells(df.withColumns({"topic": F.lit("t"), "n_tokens": F.lit(2).cast("long")}))
+    left = {r.marginal_error for r in mixing.rake(cells, targets, max_sweeps=5).collect()}
+    assert len(left) == 1 and left.pop() == pytest.approx(0.25)
+    targets["lang"] = target("x", "y", 3.0, 1.0)
+    assert mixing.rake(cells, targets, max_sweeps=5).first().marginal_error < 1e-9
+
+
 def test_toxicity_learns_pairs(spark):
     """An insult is toxic only with the mention of a group: no sum of weights says that."""
     import random
