@@ -239,7 +239,22 @@ def trailing(
     rows: int | None = None,
 ) -> DataFrame:
     """`value` of the last `size` rows up to and including each row, as an array
-    that keeps nulls.
+    that keeps nulls."""
+    kept = {out: F.collect_list(F.struct(value.alias("_v")))}
+    return over_trailing(df, keys, order, size, kept, 0, rows).withColumn(out, F.col(out)["_v"])
+
+
+def over_trailing(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    size: int,
+    aggregates: dict[str, Column],
+    last: int = 0,
+    rows: int | None = None,
+) -> DataFrame:
+    """`aggregates` over the rows from `size - 1` before each row to `last` (0 for
+    the row itself, -1 for the one before it).
 
     For split keys the last `size - 1` rows before a segment are copied into it,
     so its first rows see their full frame; the copies are dropped afterwards."""
@@ -247,10 +262,8 @@ def trailing(
     columns = df.columns
     segmented = with_segments(df, keys, order, rows)
     if not _is_split(segmented):
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)
-        return df.withColumn(out, F.collect_list(F.struct(value.alias("_v"))).over(frame)).withColumn(
-            out, F.col(out)["_v"]
-        )
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, last)
+        return df.select("*", *(column.over(frame).alias(out) for out, column in aggregates.items()))
 
     sizes = segmented.filter("_split").groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_m"))
     upto = Window.partitionBy(*keys).orderBy("_seg")
@@ -274,13 +287,12 @@ def trailing(
         )
         .select(*columns, F.col("_to._seg").alias("_seg"), F.lit(True).alias("_copy"))
     )
-    frame = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(1 - size, 0)
+    frame = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(1 - size, last)
     return (
         segmented.select(*columns, "_seg", F.lit(False).alias("_copy"))
         .unionByName(copies)
-        .withColumn(out, F.collect_list(F.struct(value.alias("_v"))).over(frame))
+        .select("*", *(column.over(frame).alias(out) for out, column in aggregates.items()))
         .filter(~F.col("_copy"))
-        .withColumn(out, F.col(out)["_v"])
         .drop("_seg", "_copy")
     )
 

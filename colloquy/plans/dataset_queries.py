@@ -62,6 +62,50 @@ def label_sanity(spark, sf):
     return labels.label_sanity(_labels(spark, sf), corpus_messages(spark, sf))
 
 
+def _hash(column):
+    """A number below 65,536 that SQL computes alike."""
+    return F.conv(F.substring(F.md5(column), 1, 4), 16, 10).cast("int")
+
+
+def _hash_sql(column):
+    return f"('0x' || substr(md5({column}), 1, 4))::INT"
+
+
+_LABEL_FAULTS = {
+    "lost": ("LB_R10_ROW_COUNT_MISMATCH", 11),
+    "repeated": ("LB_R11_DUPLICATE_TARGET_ID", 7),
+    "no level": ("LB_R11_LABEL_SCORE_OUT_OF_DOMAIN", 5),
+}
+
+
+@query(
+    "label_faults",
+    f"""WITH {MESSAGES_SQL}, c AS (SELECT message_id, {_hash_sql('message_id')} AS h FROM msg WHERE role = 'customer'),
+    f AS (SELECT * FROM c, (VALUES {", ".join(f"('{k}', {m})" for k, (_, m) in _LABEL_FAULTS.items())}) v(fault, m)),
+    n AS (SELECT fault, count(*) FILTER (NOT (fault = 'lost' AND h % m = 0)) AS label_rows,
+      count(DISTINCT CASE WHEN fault = 'repeated' AND h % m = 0 THEN 'same' ELSE message_id END)
+        FILTER (NOT (fault = 'lost' AND h % m = 0)) AS distinct_targets,
+      count(*) FILTER (fault = 'no level' AND h % m = 0) AS out_of_domain, count(*) AS expected_rows FROM f GROUP BY 1)
+    SELECT *, CASE WHEN label_rows <> expected_rows THEN 'LB_R10_ROW_COUNT_MISMATCH'
+      WHEN distinct_targets <> label_rows THEN 'LB_R11_DUPLICATE_TARGET_ID'
+      WHEN out_of_domain > 0 THEN 'LB_R11_LABEL_SCORE_OUT_OF_DOMAIN' END AS error_code FROM n""",
+)
+def label_faults(spark, sf):
+    """The report of label sets that lost rows, repeat a target, or hold a score that is no level."""
+    made = materialize(_labels(spark, sf), "labels")
+    found = None
+    for fault, (_, m) in _LABEL_FAULTS.items():
+        hit = _hash(F.col("target_id")) % m == 0
+        broken = {
+            "lost": made.filter(~hit),
+            "repeated": made.withColumn("target_id", F.when(hit, "same").otherwise(F.col("target_id"))),
+            "no level": made.withColumn("label_score", F.when(hit, 0.25).otherwise(F.col("label_score"))),
+        }[fault]
+        report = labels.label_sanity(broken, corpus_messages(spark, sf)).withColumn("fault", F.lit(fault))
+        found = report if found is None else found.unionByName(report)
+    return found
+
+
 def _examples(spark, sf):
     m = messages(spark, sf).drop("generated_label", "received_at")
     return dataset.assemble_examples(dataset.feature_rows(m), _labels(spark, sf))
@@ -160,6 +204,68 @@ def split_overlap(spark, sf):
     return dataset.split_overlap(materialize(_split_examples(spark, sf), "split"))
 
 
+_FAULTY = f"""{_SPLIT_EVENTS}, hashed AS (SELECT *, {_hash_sql("example_id")} AS h, {_hash_sql("customer_id")} AS hc FROM placed),
+faulty AS (SELECT *, CASE WHEN h % 97 = 0 THEN 'test' WHEN h % 89 = 0 THEN 'validation' ELSE split END AS leaky,
+  CASE WHEN hc % 6 = 0 THEN 'none' ELSE split END AS gappy FROM hashed)"""
+
+
+def _leaky(placed):
+    h = _hash(F.col("example_id"))
+    moved = F.when(h % 97 == 0, "test").when(h % 89 == 0, "validation").otherwise(F.col("split"))
+    return placed.withColumn("split", moved)
+
+
+@query(
+    "split_faults",
+    _FAULTY + """, r AS (
+    SELECT 'lost' AS fault, count(*) FILTER (h % 31 <> 0) AS example_rows, count(*) FILTER (h % 31 <> 0) AS split_rows,
+      0::BIGINT AS leaked_customers, count(*) AS label_rows FROM faulty
+    UNION ALL SELECT 'leak', count(*), count(*), (SELECT count(*) FROM (SELECT customer_id FROM faulty GROUP BY 1
+      HAVING count(DISTINCT leaky) > 1)), count(*) FROM faulty
+    UNION ALL SELECT 'gap', count(*), count(*) FILTER (gappy <> 'none'), 0, count(*) FROM faulty)
+    SELECT *, CASE WHEN example_rows <> label_rows THEN 'SP_R11_EXAMPLE_COUNT_MISMATCH'
+      WHEN leaked_customers > 0 THEN 'SP_R12_CUSTOMER_ID_LEAK'
+      WHEN split_rows <> example_rows THEN 'SP_R13_SPLIT_ROW_SUM_MISMATCH' END AS error_code FROM r""",
+)
+def split_faults(spark, sf):
+    """The report of datasets that lost rows, leak a customer into another split, or leave rows without one."""
+    placed = materialize(_split_examples(spark, sf), "split")
+    gap = F.when(_hash(F.col("customer_id")) % 6 == 0, "none").otherwise(F.col("split"))
+    broken = {
+        "lost": placed.filter(_hash(F.col("example_id")) % 31 != 0),
+        "leak": _leaky(placed),
+        "gap": placed.withColumn("split", gap),
+    }
+    found = None
+    for fault, rows in broken.items():
+        report = dataset.split_sanity(rows, table(spark, sf, "events")).withColumn("fault", F.lit(fault))
+        found = report if found is None else found.unionByName(report)
+    return found
+
+
+@query(
+    "split_leaks",
+    _FAULTY + """ SELECT l AS left_split, r AS right_split, (SELECT count(*) FROM
+      (SELECT customer_id FROM faulty GROUP BY 1 HAVING bool_or(leaky = l) AND bool_or(leaky = r))) AS shared
+    FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) p(l, r)""",
+)
+def split_leaks(spark, sf):
+    """Customers in two splits, where some rows were moved."""
+    return dataset.split_overlap(materialize(_leaky(_split_examples(spark, sf)), "split"))
+
+
+@query(
+    "split_gaps",
+    _FAULTY + " SELECT example_id, split FROM faulty WHERE gappy = 'none'",
+)
+def split_gaps(spark, sf):
+    """Examples that the union of the splits lacks, where some customers were left without one, and their split."""
+    placed = materialize(_split_examples(spark, sf), "split")
+    held = placed.filter(_hash(F.col("customer_id")) % 6 != 0)
+    parts = [held.filter(F.col("split") == s) for s in dataset.SPLITS]
+    return dataset.missing_from_union(placed, parts).join(placed.select("example_id", "split"), "example_id")
+
+
 @query("split_union", "SELECT count(*) - count(*) AS missing, count(*) AS n_rows FROM events")
 def split_union(spark, sf):
     placed = materialize(_split_examples(spark, sf), "split")

@@ -31,7 +31,7 @@ fields AS (SELECT corpus, line_no, j, json_type(j) AS top, CASE WHEN json_type(j
   TRY_CAST(j->>'$.generated_label' AS DOUBLE) AS label FROM doc),
 ruled AS (SELECT *, CASE
   WHEN j IS NULL THEN 'DC_R01_INVALID_JSON'
-  WHEN top <> 'OBJECT' OR list_sort(keys) <> {_FIELDS} OR text_type <> 'VARCHAR' OR role NOT IN ('customer', 'agent')
+  WHEN top <> 'OBJECT' OR list_sort(list_distinct(keys)) <> {_FIELDS} OR text_type <> 'VARCHAR' OR role NOT IN ('customer', 'agent')
     OR trim(text) = '' OR length(text) > 1000 OR NOT regexp_full_match(sent_at, '\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\dZ')
     OR NOT regexp_full_match(persona, '[a-z]+(_[a-z]+)*')
     OR label_type NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT', 'NULL') THEN 'DC_R01_SCHEMA_VIOLATION'

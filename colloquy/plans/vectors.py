@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import MAX_HISTORY
-from colloquy.operators.skew import trailing
+from colloquy.operators.skew import over_trailing
 from colloquy.plans.regression import ridge
 from colloquy.session import materialize
 
@@ -37,17 +37,12 @@ def context_means(
     split_rows: int | None = None,
 ) -> DataFrame:
     """`context`: mean vector of the up to `size - 1` rows before each row of the
-    same key, zeros if there is none."""
-    framed = trailing(rows, [key], order, size, F.col(vector), "_window", split_rows)
-    earlier = F.size("_window") - 1
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    total = F.aggregate(
-        F.slice("_window", F.lit(1), earlier),
-        zeros,
-        lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b),
-        lambda acc: F.transform(acc, lambda a: a / F.greatest(F.size("_window") - 1, F.lit(1))),
-    )
-    return framed.withColumn("context", total).drop("_window")
+    same key, zeros if there is none. Each dimension is a number averaged over a
+    sliding frame; no vectors are gathered."""
+    means = {f"_m{i}": F.avg(F.get(F.col(vector), F.lit(i)).cast("double")) for i in range(dim)}
+    framed = over_trailing(rows, [key], order, size, means, -1, split_rows)
+    context = F.array(*(F.coalesce(name, F.lit(0.0)) for name in means)) if dim else F.array().cast("array<double>")
+    return framed.withColumn("context", context).drop(*means)
 
 
 def concat_weighted(text: Column, context: Column, weight: float) -> Column:

@@ -236,7 +236,7 @@ CASE
     || 'T00:' || lpad(CAST(CASE WHEN k = 13 THEN 0 WHEN k IN (14, 25) THEN 59 - turn ELSE turn END AS VARCHAR(9)), 2, '0') || ':00Z'
     || '", "persona": "' || CASE WHEN k = 15 THEN 'Bad Case' WHEN k = 16 THEN 'persona_z'
                                  ELSE 'persona_' || substr('abcde', CAST(conv_id % 40 % 5 + 1 AS INT), 1) END
-    || '", ' || CASE WHEN k = 17 THEN '"extra": 1, ' ELSE '' END || '"generated_label": '
+    || '", ' || CASE WHEN k = 17 THEN '"extra": 1, ' WHEN k = 21 THEN '"corpus_id": "' || corpus || '", ' ELSE '' END || '"generated_label": '
     || CASE WHEN k = 18 THEN '"high"' WHEN k = 19 THEN '0.25' WHEN k = 20 THEN '1'
             WHEN role <> 'user' THEN 'null'
             WHEN (conv_id * 3 + turn) % 5 = 0 THEN '-1.0' WHEN (conv_id * 3 + turn) % 5 = 1 THEN '-0.5'
