@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import dataset, labels, metrics, validation
 from colloquy.plans import regression
 from colloquy.session import materialize
+from colloquy.sources import corpus
 
 
 class NotApproved(Exception):
@@ -19,17 +20,39 @@ class NotApproved(Exception):
 
 @dataclass
 class Corpus:
+    """`report` and `errors` have a row per corpus and per listed error."""
+
     checked: validation.Checked
     composition: DataFrame
-    status: str
+    report: DataFrame
+    errors: DataFrame
+
+    @property
+    def status(self) -> str:
+        """`ok` if all corpora are; `rejected` also where there is none."""
+        found = self.report.agg(F.count_if(F.col("status") != "ok"), F.count(F.lit(1))).first()
+        return "ok" if found[0] == 0 and found[1] else "rejected"
 
 
-def check_corpus(lines: DataFrame, skip_minimums: bool = False) -> Corpus:
-    """Validate lines (corpus, line_no, value) of one corpus."""
+def check_corpus(lines: DataFrame, skip_minimums: bool = False, encoding: DataFrame | None = None) -> Corpus:
+    """Validate lines (corpus, line_no, value). `encoding` holds the errors
+    (corpus, line_no, code, detail) that kept further lines from being read."""
     checked = validation.check(lines)
     composed = materialize(validation.composition(checked.survivors, skip_minimums), "composition")
-    status = validation.corpus_status(checked.parsed, composed).first().status
-    return Corpus(checked, composed, status)
+    made = materialize(validation.report(lines, checked, composed, encoding), "corpus-report")
+    whole = composed.join(made.filter("composition = 'evaluated'").select("corpus"), "corpus", "left_semi")
+    return Corpus(checked, composed, made, validation.error_list(checked.parsed, encoding=encoding, composed=whole))
+
+
+def check_files(spark: SparkSession, path: str, skip_minimums: bool = False) -> Corpus:
+    """Validate the corpora in the files of `path`, each file being one. A file is
+    read up to its first line that is not UTF-8, and not at all if it starts with a
+    byte order mark."""
+    lines = corpus.scan_lines(spark, path)
+    faults = materialize(corpus.encoding_errors(lines, corpus.inspect_files(corpus.files(spark, path))), "encoding")
+    named = faults.withColumn("corpus", corpus.stem(F.col("path"))).drop("path")
+    kept = corpus.readable_lines(lines, faults).select("corpus", "line_no", "value")
+    return check_corpus(materialize(kept, "lines"), skip_minimums, named)
 
 
 def build_examples(messages: DataFrame, **shares) -> DataFrame:
@@ -80,10 +103,10 @@ def evaluate(examples: DataFrame, alpha: float = 1.0, width: int = 1 << 18, tol:
 
 def run(lines: DataFrame, skip_minimums: bool = False, **settings) -> Evaluation:
     """All steps; stops at a corpus that is rejected or a dataset that is not sound."""
-    corpus = check_corpus(lines, skip_minimums)
-    if corpus.status != "ok":
+    made = check_corpus(lines, skip_minimums)
+    if made.status != "ok":
         raise NotApproved("status_not_ok")
-    messages = corpus.checked.survivors
+    messages = made.checked.survivors
     examples = build_examples(messages)
     require_sound(examples, messages)
     return evaluate(examples, **settings)

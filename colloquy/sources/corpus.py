@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import is_blank
@@ -18,7 +18,8 @@ FIELDS = (
 LINE = ", ".join(f"{f} {'double' if f == 'generated_label' else 'string'}" for f in FIELDS)
 
 
-def _stem(path):
+def stem(path: Column) -> Column:
+    """The corpus that a file should hold: its name without folders and suffix."""
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
@@ -45,7 +46,7 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     # one row per file block: its size is the corpus size over the block size,
     # and the runtime size check decides whether it is broadcast
     return lines.join(offsets, ["path", "_block"]).select(
-        "path", _stem(F.col("path")).alias("corpus"), (F.col("_id") + F.col("_offset")).alias("line_no"), "value"
+        "path", stem(F.col("path")).alias("corpus"), (F.col("_id") + F.col("_offset")).alias("line_no"), "value"
     )
 
 
@@ -147,4 +148,4 @@ def path_errors(inspected: DataFrame) -> DataFrame:
         .when(F.col("size") == 0, "IG_R01_EMPTY_FILE")
         .when(~F.col("path").rlike(r"/raw/synthetic/[^/]+$"), "IG_R02_PATH_OUTSIDE_SYNTHETIC")
     )
-    return inspected.select("path", _stem(F.col("path")).alias("corpus"), "size", code.alias("code"))
+    return inspected.select("path", stem(F.col("path")).alias("corpus"), "size", code.alias("code"))

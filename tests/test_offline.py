@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from colloquy.plans import offline
 
 PHRASES = {-1.0: "terrible broken awful", -0.5: "slow late annoying", 0.0: "what time please",
@@ -49,3 +51,42 @@ def test_gate(spark, signal):
 def test_small_corpus_is_rejected(spark):
     with pytest.raises(offline.NotApproved, match="status_not_ok"):
         offline.run(_lines(spark, True, customers=5))
+
+
+def test_one_report_per_corpus(spark, tmp_path):
+    """Files with nothing wrong, with warnings, with a bad line, with a bad composition, and that stop being readable."""
+    good = [r.value for r in _lines(spark, True).orderBy("line_no").collect()]
+
+    def named(corpus, lines):
+        return [line.replace("syn-x", corpus) for line in lines]
+
+    files = {
+        "fine": named("fine", good),
+        "warned": ["", *named("warned", [good[1], good[0], *good[2:]]), "  "],
+        "broken": [*named("broken", good[:-1]), "{nope"],
+        "short": named("short", good[:3]),
+        "marked": named("marked", good),
+        "cut": named("cut", good),
+    }
+    for name, lines in files.items():
+        data = "\n".join(lines).encode()
+        if name == "marked":
+            data = b"\xef\xbb\xbf" + data
+        if name == "cut":
+            data = data.replace(b"broken", b"br\xffken", 1) if b"broken" in data else data + b"\n\xff"
+        (tmp_path / f"{name}.jsonl").write_bytes(data)
+    made = offline.check_files(spark, str(tmp_path), skip_minimums=True)
+    got = {r.corpus: r for r in made.report.collect()}
+    assert {c: (r.status, r.composition) for c, r in got.items()} == {
+        "fine": ("ok", "evaluated"), "warned": ("ok", "evaluated"), "broken": ("rejected", "not_evaluated"),
+        "short": ("rejected", "evaluated"), "marked": ("rejected", "not_evaluated"), "cut": ("rejected", "not_evaluated"),
+    }
+    assert list(got["fine"].warnings) == [] and list(got["warned"].warnings) == ["blank_lines_skipped", "file_unordered"]
+    assert (got["warned"].blank_lines, got["warned"].unordered_conversations) == (2, 1)
+    listed = {}
+    for r in made.errors.collect():
+        listed.setdefault(r.corpus, []).append(r.code)
+    assert listed["marked"] == ["IG_R04_ENCODING_INVALID"] and listed["broken"] == ["DC_R01_INVALID_JSON"]
+    assert "IG_R04_ENCODING_INVALID" in listed["cut"] and {c[:6] for c in listed["short"]} <= {"DC_R14", "DC_R15", "DC_R16"}
+    assert {c: len(codes) for c, codes in listed.items()} == {c: r.errors for c, r in got.items() if r.errors}
+    assert made.status == "rejected"
