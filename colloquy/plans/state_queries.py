@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from colloquy.operators import online, state
 from colloquy.plans.registry import query
+from colloquy.session import new_path
+from colloquy.sources.erasure import erase_rows
 from colloquy.sources.lineage import migrate_legacy
 from colloquy.sources.tables import (
     EVENT_MESSAGES_SQL,
@@ -166,6 +168,20 @@ def erase_results(spark, sf):
     return _erased(spark, sf)["results"]
 
 
+@query(
+    "erase_stored",
+    f"WITH {MESSAGES_SQL} SELECT message_id, conversation_id, text FROM msg WHERE substr(conversation_id, 3)::BIGINT % 11 <> 4",
+)
+def erase_stored(spark, sf):
+    """Messages in a stored table from which every eleventh conversation is erased."""
+    path = new_path(spark, "stored-messages")
+    messages(spark, sf).select("message_id", "conversation_id", "text").repartitionByRange(16, "conversation_id").write.parquet(path)
+    everyone = table(spark, sf, "conversations").select("conv_id").distinct()
+    wanted = everyone.filter("conv_id % 11 = 4").select(F.concat(F.lit("c-"), "conv_id").alias("conversation_id"))
+    erase_rows(spark, path, wanted)
+    return spark.read.parquet(path)
+
+
 @query(
     "coverage",
     f"""WITH {EVENT_MESSAGES_SQL}, {SCORES_SQL},
