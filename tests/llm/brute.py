@@ -161,3 +161,52 @@ def rake(cells, targets, sweeps=200):
                 sums[k[d]] += x
             w = {k: x * t[k[d]] / sums[k[d]] if sums[k[d]] else 0.0 for k, x in w.items()}
     return w
+
+
+class Mixer:
+    """The language model in plain Python: counts of bits per context and node over `texts`, mixed by given weights."""
+
+    def __init__(self, texts, code, weights):
+        self.code, self.weights = code, weights
+        self.counts = defaultdict(lambda: [0, 0])
+        for t in texts:
+            data = fold(t).encode() + b"\xff"
+            for i, b in enumerate(data):
+                for context in self.contexts(data, i):
+                    for node, bit in self.path(b):
+                        self.counts[context, node][bit] += 1
+
+    @staticmethod
+    def contexts(data, i):
+        start = i
+        while start and (chr(data[start - 1]) in "0123456789abcdefghijklmnopqrstuvwxyz" or 0x80 <= data[start - 1] <= 0xFE):
+            start -= 1
+        return (0, data[max(0, i - 3) : i]), (1, data[max(0, i - 5) : i]), (2, data[start:i])
+
+    def path(self, b):
+        places = range(self.code.first[b], self.code.first[b] + self.code.size[b])
+        return [(int(self.code.node[j]), int(self.code.bit[j])) for j in places]
+
+    def margins(self, data, i, b):
+        """Per bit of byte `b` at place `i` the log odds of the bit."""
+        for node, bit in self.path(b):
+            z = 0.0
+            for k, context in enumerate(self.contexts(data, i)):
+                zeros, ones = self.counts.get((context, node), (0, 0))
+                odds = max(-127, min(127, round(16 * math.log((ones + 0.4) / (zeros + 0.4)))))
+                z += self.weights[k][node] * odds
+            yield z if bit else -z
+
+    def bits(self, text, stretch):
+        data = fold(text).encode() + b"\xff"
+        total, gain, power = 0.0, 1.0, 50.0
+        for low in range(0, len(data), stretch):
+            pull = 0.0
+            for i in range(low, min(low + stretch, len(data))):
+                for z in self.margins(data, i, data[i]):
+                    margin = max(-16.0, min(16.0, z * gain))
+                    total += math.log2(1 + math.exp(-margin))
+                    pull += z / (1 + math.exp(margin))
+                    power += z * z
+            gain += pull / power
+        return total

@@ -43,22 +43,23 @@ def test_lm_base_scores(spark, texts, monkeypatch):
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    """Over all first bytes of a text the code lengths fill the unit interval."""
-    import numpy as np
-    import pyarrow as pa
-
-    train = spark.createDataFrame([("abc abd abe " * 9,), ("the cat sat",)], "text string")
-    model, _ = lmscore.train(train, "text", train)
-    codes = lmscore.events(np.arange(256, dtype=np.uint8), model.code)
-    assert np.sum(0.5 ** np.bincount(codes.byte)) == pytest.approx(1.0)
-    whole = lmscore.code_length(pa.array(["abc", None, "", "abc"]), model)
-    assert whole[0] == whole[3] and whole[1] == whole[2] and whole[0] > whole[1] > 0
-    total, context = 0.0, [np.zeros(1, np.int32)] * len(lmscore.ORDERS)
-    for b in range(256):
-        e = lmscore.events(np.array([b], np.uint8), model.code)
-        z = sum(model.weights[o][e.node] * model.odds[o][context[o][e.byte] ^ e.mark] for o in range(len(context)))
-        total += np.prod(1 / (1 + np.exp(-(2 * e.bit - 1) * z)))
+    """Over all first bytes of a text the probabilities fill the unit interval, and the scores are those of the mixer."""
+    texts = ["abc abd abe " * 9, "the cat sat", "", None, "Tag größer Tag größe " * 60, "abd"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    trained = _trained(docs)
+    assert sum(0.5 ** int(n) for n in trained.code.size) == pytest.approx(1.0)
+    mixer = brute.Mixer(texts, trained.code, trained.weights)
+    total = sum(math.prod(1 / (1 + math.exp(-z)) for z in mixer.margins(bytes([b]), 0, b)) for b in range(256))
     assert total == pytest.approx(1.0, abs=1e-6)
+    got = {r.doc_id: r.bits for r in lmscore.score(docs, docs).collect()}
+    assert got == pytest.approx({i: mixer.bits(t, lmscore.STRETCH) for i, t in enumerate(texts)}, rel=2e-2, abs=0.2)
+
+
+def _trained(docs):
+    """What the model learns when `docs` are both scored and learned from."""
+    teaching = docs.select("text").withColumn("_role", F.lit(lmscore.TRAINS | lmscore.TEACHES))
+    rows = docs.withColumn("_role", F.lit(lmscore.SCORED_ROLE)).unionByName(teaching, allowMissingColumns=True)
+    return lmscore._train(teaching.select("text"), lmscore._chunks(rows.select("_role", "doc_id", "text")))
 
 
 def test_personal_data(spark, texts):

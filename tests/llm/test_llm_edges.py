@@ -80,16 +80,16 @@ def test_quality_repeats(spark):
 
 
 def test_lm(spark, docs, none):
-    rows = lmscore.score(docs, docs, docs).collect()
-    assert _ids(lmscore.score(docs, docs, docs)) == ALL
+    rows = lmscore.score(docs, docs).collect()
+    assert _ids(lmscore.score(docs, docs)) == ALL
     want = brute.base_scores([(k, t) for k, (_, t, *_) in enumerate(ROWS)])
     assert sorted(r.n_tokens for r in rows) == sorted(w[0] for w in want.values())
     assert all(r.n_known == r.n_tokens for r in rows) and all(r.h1 == "mine" for r in rows)
     blank = {r.score for r in rows if r.n_tokens == 1 and r.doc_id in (1, 2)}
     assert len(blank) == 1
-    untaught = lmscore.score(docs, none, none).collect()
+    untaught = lmscore.score(docs, none).collect()
     assert all(r.n_known == 0 and r.base_score == 0 and r.bits_per_byte >= 8 for r in untaught)
-    assert lmscore.score(none, docs, docs).count() == 0
+    assert lmscore.score(none, docs).count() == 0
 
 
 def test_pii(docs, none):

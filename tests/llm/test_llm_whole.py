@@ -34,25 +34,24 @@ def test_no_similarity_is_found_less_often_than_the_target():
 
 
 def test_contexts_never_share_counts(spark, monkeypatch):
-    """As many entries as there are different contexts and nodes, and their exact counts, however they are bucketed."""
-    monkeypatch.setattr(lmscore, "CHUNK_BYTES", 500)
+    """Scores are those of exact counts of whole contexts, however many buckets the pairs are in."""
     monkeypatch.setattr(lmscore, "BUCKET_BYTES", 1000)
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300))) for _ in range(60)]
-    model, _ = lmscore.train(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
-    for k, width in enumerate((3, 5)):
-        counts = {}
-        for t in texts:
-            data = t.encode() + bytes([lmscore.END_BYTE])
-            for i, b in enumerate(data):
-                context = data[max(0, i - width) : i]
-                first = model.code.first[b]
-                for j in range(first, first + model.code.size[b]):
-                    n = counts.setdefault((context, model.code.node[j]), [0, 0])
-                    n[model.code.bit[j]] += 1
-        want = sorted(int(lmscore._scaled(np.array([a]), np.array([b]))[0]) for a, b in counts.values())
-        assert len(model.odds[k].event) == len(counts)
-        assert sorted(model.odds[k].odds.tolist()) == want
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4, "doc_id")
+    teaching = docs.select("text").withColumn("_role", F.lit(lmscore.TRAINS | lmscore.TEACHES))
+    rows = docs.withColumn("_role", F.lit(lmscore.SCORED_ROLE)).unionByName(teaching, allowMissingColumns=True)
+    trained = lmscore._train(teaching.select("text"), lmscore._chunks(rows.select("_role", "doc_id", "text")))
+    assert trained.buckets > 5
+    mixer = brute.Mixer(texts, trained.code, trained.weights)
+    got = {r.doc_id: r.bits for r in lmscore.score(docs, docs).collect()}
+    assert got == pytest.approx({i: mixer.bits(t, lmscore.STRETCH) for i, t in enumerate(texts)}, rel=2e-2, abs=0.2)
+
+
+def test_packed_numbers_come_back():
+    for values in (np.zeros(0, np.int64), np.array([-5, 0, 1 << 60, 7]), np.array([1, -1, 127], np.int8)):
+        back = lmscore._unpacked(lmscore._packed(values), values.dtype.type)
+        assert back.dtype == values.dtype and back.tolist() == values.tolist()
 
 
 def test_all_training_texts_teach_the_weights(spark, tmp_path):
@@ -65,7 +64,7 @@ def test_all_training_texts_teach_the_weights(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     training = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0)
     got = {r.doc_id: r.score for r in catalog.QUERIES["op1_lm_scoring"](spark, str(tmp_path)).collect()}
-    want = {r.doc_id: r.score for r in lmscore.score(docs, training, training).collect()}
+    want = {r.doc_id: r.score for r in lmscore.score(docs, training).collect()}
     assert got == pytest.approx(want, rel=1e-3)
 
 
