@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,10 +85,3 @@ def discard(df: DataFrame) -> None:
     for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more. It does so when the driver collects
-    garbage, which a driver with room to spare may not do for the whole of a long job."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
