@@ -9,13 +9,16 @@ from colloquy.functions.text import with_prepared
 from colloquy.operators import online
 from colloquy.plans import regression, rule_queries, state_queries  # noqa: F401  their SQL is used below
 from colloquy.plans.registry import ORACLES, query
-from colloquy.session import new_path
+from colloquy.session import is_folder, new_path
 from colloquy.sources import tables as t
 from colloquy.streaming import pipelines as p
 
 
 def _stream(spark, sf, name):
+    """The table as a stream, whether it is one file or a folder of files."""
     schema = t.table(spark, sf, name).schema
+    if is_folder(spark, f"{sf}/{name}.parquet"):
+        return p.read_stream(spark, f"{sf}/{name}.parquet", schema)
     return p.read_stream(spark, sf, schema, pattern=f"{name}.parquet")
 
 
