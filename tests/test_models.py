@@ -5,12 +5,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy import session
 from colloquy.operators import metrics
 from colloquy.plans import features, regression, sparse_ridge, vectors
 from colloquy.session import materialize
@@ -170,3 +172,18 @@ def test_sparse_ridge_equals_closed_form(spark, parts, monkeypatch):
     assert np.allclose(sparse_ridge.solve(blocks, 30, 2.0, tol=1e-10).coefficients, w, atol=1e-8)
     none = sparse_ridge.solve(materialize(sparse_ridge.pack(df.filter("id < 0"), ["features"], 30), "none"), 30)
     assert not none.coefficients.any() and none.intercept == 0
+
+
+def test_blocks_of_a_fit_lie_in_small_row_groups(spark, monkeypatch, tmp_path):
+    """A task holds a row group, so blocks of megabytes may not gather in one: here each block is over the size."""
+    monkeypatch.setattr(session, "LARGE_ROWS_GROUP", 1)
+    monkeypatch.setattr(sparse_ridge, "BLOCK_VALUES", 300)
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    regression.fit(_examples(spark, True, 1), width=1 << 8, tol=1e-2)
+    for name in ("term-counts", "train-rows"):
+        files = [pq.ParquetFile(f).metadata for f in tmp_path.glob(f"{name}-*/*.parquet")]
+        assert sum(f.num_rows for f in files) > len(files)
+        assert all(f.num_row_groups == f.num_rows for f in files)
+    plain = regression.materialize(spark.range(10).coalesce(1), "plain")
+    assert [pq.ParquetFile(f).metadata.num_row_groups for f in tmp_path.glob("plain-*/*.parquet")] == [1]
+    assert plain.count() == 10
