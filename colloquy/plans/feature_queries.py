@@ -72,7 +72,7 @@ def tfidf_words(spark, sf):
 def word_frequencies(spark, sf):
     docs = _documents(spark, sf)
     n = docs.agg(F.count(F.lit(1))).scalar()
-    idf = features.inverse_frequencies(features.word_counts(docs, "text_clean"), n)
+    idf = features.word_inverse_frequencies(docs, "text_clean", n)
     return idf.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
@@ -81,7 +81,7 @@ _PADDED = f"""SELECT message_id AS example_id, [' ' || w || ' ' for w in string_
 
 @query("tfidf_chars", _tfidf_sql(_PADDED, CHAR_TERMS, _FEATURES.rstrip() + ",") + _SUMMARY)
 def tfidf_chars(spark, sf):
-    rows = _examples(spark, sf).select("example_id", "text_clean")
+    rows = materialize(_examples(spark, sf).select("example_id", "text_clean"), "texts")
     return _summary(_weights(rows, features.char_counts(rows, "text_clean")))
 
 
@@ -91,7 +91,7 @@ _CONTEXT = """SELECT message_id AS example_id,
 
 @query("tfidf_context", _tfidf_sql(_CONTEXT, WORD_TERMS, _FEATURES.rstrip() + ",", "0.5") + _SUMMARY)
 def tfidf_context(spark, sf):
-    rows = _examples(spark, sf).select("example_id", "context_clean")
+    rows = materialize(_examples(spark, sf).select("example_id", "context_clean"), "texts")
     return _summary(_weights(rows, features.context_counts(rows), 0.5))
 
 

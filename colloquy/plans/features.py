@@ -1,31 +1,116 @@
 """TF-IDF weights of words and characters, exact over the whole vocabulary.
 
 Terms stay rows: (example_id, term, weight). Nothing the size of the vocabulary
-or of the corpus is held by the driver or one task; a term that occurs in every
-example is salted when its idf is joined.
+or of the corpus is held by the driver or one task. The terms of a row are counted
+where the row is, on Arrow batches, so what is shuffled is one row per example and
+term, not one per occurrence; an idf that many rows need is broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colloquy.functions.text import char_ngrams, join_context, word_ngrams, words
+from colloquy.functions.text import char_ngrams, join_context, words
 from colloquy.operators.skew import lookup_join
+from colloquy.session import hot_rows, materialize
+
+TOKENS = 1 << 20  # tokens of the rows counted at once, unless a single row has more
+COMMON_TERMS = 1 << 17  # terms whose idf is broadcast, at most
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]
+
+
+def _pieces(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """First row, first token of each row (one more entry than rows) and tokens of consecutive rows."""
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    row = 0
+    while row < len(lists):
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + TOKENS, "right")) - 1)
+        stop = min(stop, len(lists))
+        yield row, offsets[row : stop + 1] - offsets[row], lists.values[offsets[row] : offsets[stop]]
+        row = stop
+
+
+def _counted(first: np.ndarray, tokens: pa.Array, low: int, high: int) -> Iterator[Found]:
+    """Row, number of the term and count, of each row and n-gram, and the terms by number; one item per n."""
+    coded = tokens.dictionary_encode()
+    single, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at, gram, terms = np.arange(len(code)), code, single
+    for n in range(1, high + 1):
+        if n > 1:
+            # the n-gram at i is the (n-1)-gram at i and the token at i + n - 1, if that is of the same row
+            whole = at + n - 1 < len(code)
+            at, gram = at[whole], gram[whole]
+            whole = row[at + n - 1] == row[at]
+            at, gram = at[whole], gram[whole]
+            pairs, gram = np.unique(gram * len(single) + code[at + n - 1], return_inverse=True)
+            left, last = np.divmod(pairs, max(len(single), 1))
+            terms = pc.binary_join_element_wise(terms.take(pa.array(left)), single.take(pa.array(last)), " ")
+        if n >= low and len(at):
+            cells, times = np.unique(row[at] * len(terms) + gram, return_counts=True)
+            yield cells // len(terms), cells % len(terms), times, terms
+
+
+def _count(examples: DataFrame, key: str, low: int, high: int) -> DataFrame:
+    """(key, term, tf) of each row of (key, _tokens), whatever other rows have its key."""
+    schema = T.StructType([examples.schema[key], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, first, tokens in _pieces(batch.column(1)):
+                for row, term, times, terms in _counted(first, tokens, low, high):
+                    keys = batch.column(0).take(pa.array(row + start))
+                    yield pa.RecordBatch.from_arrays([keys, terms.take(pa.array(term)), pa.array(times)], names=schema.names)
+
+    return examples.select(key, "_tokens").mapInArrow(run, schema)
+
 
+def _rows_with(examples: DataFrame, low: int, high: int) -> DataFrame:
+    """(term, df): rows of (_tokens) that have a term, added up within a part of a task's rows; a term may come again."""
 
-def term_counts(examples: DataFrame, terms: Column, key: str = "example_id") -> DataFrame:
-    """(key, term, tf)."""
-    return (
-        examples.select(key, F.explode(terms).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, first, tokens in _pieces(batch.column(0)):
+                for _, term, _, terms in _counted(first, tokens, low, high):
+                    rows = np.bincount(term, minlength=len(terms))
+                    yield pa.RecordBatch.from_arrays([terms, pa.array(rows)], names=["term", "df"])
+
+    return examples.select("_tokens").mapInArrow(run, "term string, df long")
+
+
+def _by_key(examples: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose key no other row has, and the rest, or None if there is no rest. The keys are read once more."""
+    repeated = examples.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated = materialize(repeated, "repeated-keys")
+    if repeated.isEmpty():
+        return examples, None
+    again = repeated.select(key, F.lit(True).alias("_again"))
+    marked = lookup_join(examples, again, [key], "left", sizes=repeated)
+    rest = F.col(key).isNull() | F.col("_again").isNotNull()
+    return marked.filter(~rest).drop("_again"), marked.filter(rest).drop("_again")
+
+
+def _sum_by_key(rest: DataFrame, key: str, low: int, high: int) -> DataFrame:
+    return _count(rest, key, low, high).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+
+
+def term_counts(examples: DataFrame, tokens: Column, key: str = "example_id", low: int = 1, high: int = 1) -> DataFrame:
+    """(key, term, tf) of the n-grams of a token array. Rows of one key count together."""
+    own, rest = _by_key(examples.select(key, tokens.alias("_tokens")), key)
+    counts = _count(own, key, low, high)
+    return counts if rest is None else counts.unionByName(_sum_by_key(rest, key, low, high))
 
 
 def word_counts(examples: DataFrame, text: str, low: int = 1, high: int = 2) -> DataFrame:
-    tokens = examples.select("example_id", words(F.col(text)).alias("_tokens"))
-    return term_counts(tokens, word_ngrams(F.col("_tokens"), low, high))
+    return term_counts(examples, words(F.col(text)), "example_id", low, high)
 
 
 def char_counts(examples: DataFrame, text: str, low: int = 2, high: int = 5) -> DataFrame:
@@ -37,13 +122,24 @@ def context_counts(examples: DataFrame, context: str = "context_clean") -> DataF
     return word_counts(joined, "_context")
 
 
+def _smoothed(frequencies: DataFrame, examples: Column) -> DataFrame:
+    return frequencies.withColumn("idf", F.log((1 + examples) / (1 + F.col("df"))) + 1)
+
+
 def inverse_frequencies(counts: DataFrame, examples: Column) -> DataFrame:
     """(term, df, idf): smoothed, `ln((1 + n) / (1 + df)) + 1`."""
-    return (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", F.log((1 + examples) / (1 + F.col("df"))) + 1)
-    )
+    return _smoothed(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), examples)
+
+
+def word_inverse_frequencies(
+    texts: DataFrame, text: str, examples: Column, low: int = 1, high: int = 2, key: str = "example_id"
+) -> DataFrame:
+    """`inverse_frequencies` of `word_counts`, but rows are added up where they are, and no count is made of them."""
+    own, rest = _by_key(texts.select(key, words(F.col(text)).alias("_tokens")), key)
+    found = _rows_with(own, low, high)
+    if rest is not None:
+        found = found.unionByName(_sum_by_key(rest, key, low, high).select("term", F.lit(1).cast("long").alias("df")))
+    return _smoothed(found.groupBy("term").agg(F.sum("df").alias("df")), examples)
 
 
 def weigh(
@@ -52,12 +148,16 @@ def weigh(
     """(example_id, term, weight): tf x idf with length one per example, then
     scaled. Terms the idf table does not know are left out.
 
-    The document frequency of a term is its number of rows, so the terms to salt
-    are known. The norm needs the rows of one example together; there are no more
+    The document frequency of a term is its number of rows. Those with one in
+    COMMON_TERMS of all rows, of which there are no more than that, and any with
+    more than `rows`, are broadcast; the others are joined and no task gets many
+    rows of one. The norm needs the rows of one example together; there are no more
     of them than its text has n-grams."""
-    sizes = idf.select("term", F.col("df").alias("_n"))
-    weighted = lookup_join(counts, idf.select("term", "idf"), ["term"], "inner", rows, sizes).select(
-        "example_id", "term", (F.col("tf") * F.col("idf")).alias("_w")
-    )
+    total = idf.agg(F.sum("df")).first()[0] or 0
+    limit = min(max(1, total // COMMON_TERMS), rows or hot_rows(counts.sparkSession))
+    common = F.broadcast(idf.filter(F.col("df") > limit).select("term", "idf"))
+    others = idf.filter(F.col("df") <= limit).select("term", "idf")
+    joined = counts.join(common, "term").unionByName(counts.join(common, "term", "left_anti").join(others, "term"))
+    weighted = joined.select("example_id", "term", (F.col("tf") * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("example_id")))
     return weighted.select("example_id", "term", (F.lit(scale) * F.col("_w") / norm).alias("weight"))

@@ -41,6 +41,30 @@ def test_tfidf_equals_closed_form(spark, limit):
         assert got[key] == pytest.approx(want[key], abs=1e-12)
 
 
+@pytest.mark.parametrize("tokens", [1, 4, 1 << 20])
+def test_terms_of_repeated_and_null_keys(spark, tokens, monkeypatch):
+    """Rows of one key count together, terms do not reach over rows, and nothing is shuffled by occurrence."""
+    monkeypatch.setattr(features, "TOKENS", tokens)
+    rows = [("a", "aa bb aa bb cc"), ("a", "bb cc"), (None, "aa aa"), (None, "aa bb"), ("b", None), ("c", ""), ("d", "cc bb aa"), ("e", "zz")]
+    want, df = Counter(), Counter()
+    for key, s in rows:
+        w = (s or "").split()
+        want.update((key, " ".join(w[i : i + n])) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    df.update(term for _, term in want)
+    for part in (rows, rows[3:]):
+        texts = spark.createDataFrame(part, "example_id string, text string").coalesce(2)
+        counts = features.word_counts(texts, "text", 1, 3)
+        idf = features.word_inverse_frequencies(texts, "text", F.lit(len(part)), 1, 3)
+        plain = {r.term: (r.df, r.idf) for r in features.inverse_frequencies(counts, F.lit(len(part))).collect()}
+        assert {r.term: (r.df, r.idf) for r in idf.collect()} == plain
+        assert "Generate" not in counts._jdf.queryExecution().toString()
+        if part is rows:
+            assert {(r.example_id, r.term): r.tf for r in counts.collect()} == want
+            assert {t: n for t, (n, _) in plain.items()} == df
+    no_text = features.word_counts(texts.filter("example_id = 'c'"), "text")
+    assert no_text.count() == 0 and features.weigh(no_text, features.inverse_frequencies(no_text, F.lit(1))).count() == 0
+
+
 def _closed_ridge(x, y, alpha):
     xm, ym = x.mean(0), y.mean()
     w = np.linalg.solve((x - xm).T @ (x - xm) + alpha * np.eye(x.shape[1]), (x - xm).T @ (y - ym))
