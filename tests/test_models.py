@@ -211,3 +211,11 @@ def test_blocks_of_a_fit_lie_in_small_row_groups(spark, monkeypatch, tmp_path):
     plain = regression.materialize(spark.range(10).coalesce(1), "plain")
     assert [pq.ParquetFile(f).metadata.num_row_groups for f in tmp_path.glob("plain-*/*.parquet")] == [1]
     assert plain.count() == 10
+
+
+def test_packing_hashes_terms_once(spark):
+    """No filter on the hashed vectors goes below the rebalancing of the rows, where it would make them once more."""
+    rows = _examples(spark, True, 1).hint("rebalance")
+    packed = sparse_ridge.pack(regression._hashed(rows, 64), regression.COUNTS, 64)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(") == 3 and packed.count() > 0
