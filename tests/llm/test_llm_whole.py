@@ -1,12 +1,15 @@
 """Operators do the whole job: cases that a cut would miss."""
 
+import os
 import random
+import time
 
 import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy import session
 from colloquy.llm import catalog, lmscore, ngramjoin, toxicity
 
 
@@ -86,3 +89,33 @@ def test_terms_that_matter_only_together_are_kept(spark):
     model = toxicity.fit(docs.where("doc_id < 1500"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     held = toxicity.score(docs.where("doc_id >= 1500"), model).collect()
     assert sum((r.score >= 0.5) == bool(labels[r.doc_id][1]) for r in held) >= 0.9 * len(held)
+
+
+def test_scoring_keeps_no_tables_or_shuffles_it_has_used(spark, tmp_path):
+    """When scores are made, neither the texts nor the answers of the chunks are on disk, and no shuffle before them."""
+    rows = [(i, f"the cat {i % 7} sat on the mat and the dog {i % 5} ran off ") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, first = shuffled(), len(session._made)
+    frame = catalog.QUERIES["op1_lm_scoring"](spark, str(tmp_path))
+    kept = [path for path in session._made[first:] if os.path.isdir(path)]
+    assert sorted(os.path.basename(path).split("-")[0] for path in kept) == ["scores", "tally"]
+    until = time.time() + 20  # they are deleted in the background
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert frame.count() == 200
+
+
+def test_places_of_pairs():
+    """Also of pairs that want the same slot."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 1000, 50_000):
+        keys = np.unique(np.concatenate([rng.integers(-(1 << 62), 1 << 62, n), np.arange(n) << 40, [0, -(1 << 63)]]))
+        order = rng.integers(0, len(keys), 2 * len(keys))
+        assert lmscore.Places(keys).find(keys[order]).tolist() == order.tolist()
