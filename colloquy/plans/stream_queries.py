@@ -9,7 +9,7 @@ from colloquy.functions.text import with_prepared
 from colloquy.operators import online
 from colloquy.plans import regression, rule_queries, state_queries  # noqa: F401  their SQL is used below
 from colloquy.plans.registry import ORACLES, query
-from colloquy.session import is_folder, new_path
+from colloquy.session import is_folder, materialize, new_path
 from colloquy.sources import tables as t
 from colloquy.streaming import pipelines as p
 
@@ -133,7 +133,8 @@ def stream_scores(spark, sf):
     admitted = online.admit(_arrivals(t.event_messages_of(events)), reject, p.ARRIVAL).filter(
         "status = 200 AND role = 'customer'"
     )
-    windows = online.online_histories(with_prepared(admitted, "text", "text"))
+    # written, since histories read it several times
+    windows = online.online_histories(materialize(with_prepared(admitted, "text", "text"), "prepared"))
     batch = model.predict(
         windows.select(
             "message_id", F.element_at("history_texts", -1).alias("text_clean"),

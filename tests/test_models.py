@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from colloquy import session
 from colloquy.operators import metrics
-from colloquy.plans import features, regression, sparse_ridge, vectors
+from colloquy.plans import features, regression, sparse_ridge, termhash, vectors
 from colloquy.session import materialize
 
 TEXTS = ["the cat sat", "the dog sat on the mat", "a cat and a dog", "the the the", "mat mat cat", "only once here"]
@@ -219,3 +219,63 @@ def test_packing_hashes_terms_once(spark):
     packed = sparse_ridge.pack(regression._hashed(rows, 64), regression.COUNTS, 64)
     plan = packed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("UDF(") == 3 and packed.count() > 0
+
+
+def _cells(blocks):
+    """Of each label the columns and values, whatever the form of the blocks."""
+    out = {}
+    for b in sparse_ridge._blocks(iter(blocks.toArrow().to_batches())):
+        first, value = b.row_values(), b.weights()
+        for i, label in enumerate(b.label):
+            own = slice(first[i], first[i + 1])
+            out[int(label)] = dict(zip(b.column[own].tolist(), value[own].tolist()))
+    return out
+
+
+@pytest.mark.parametrize("piece", [1, 30, 1 << 20])
+@pytest.mark.parametrize("width", [100, 1 << 12])
+def test_hashed_stretches_equal_hashed_terms(spark, piece, width, monkeypatch):
+    """No term is made, but slots and counts are those of the term arrays, also of a text that is cut."""
+    monkeypatch.setattr(termhash, "PIECE", piece)
+    rng = random.Random(7)
+    letters = "abcdé ü漢😀 _1.\t\u2003İΣ"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(80))) for _ in range(60)] + ["", " ", None, "x" * 300, "the end " * 40]
+    rows = [(s, [texts[i - 1] or "", "more"] if i % 3 else None, float(i)) for i, s in enumerate(texts)]
+    df = spark.createDataFrame(rows, "text_clean string, context_clean array<string>, label_score double").coalesce(2)
+    known = df.filter("text_clean IS NOT NULL")  # HashingTF takes no null
+    want = _cells(sparse_ridge.pack(regression._hashed(known, width), regression.COUNTS, width))
+    packed = sparse_ridge.pack(regression._with_texts(df), regression.TEXTS, width, read=termhash.hashed)
+    assert _cells(packed) == want and len(want) == len(texts) - 1
+    assert "UDF(" not in packed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_of_a_fit_are_small(spark):
+    """Counts take a byte; with the factors of their rows' blocks and the idf they are the weights, which take eight."""
+    df = _examples(spark, True, 1).withColumn("label_score", F.monotonically_increasing_id().cast("double"))
+    packed = sparse_ridge.pack(regression._with_texts(df), regression.TEXTS, 256, read=termhash.hashed)
+    counts = materialize(packed, "counts", large_rows=True, close=True)
+    scaled, idf = regression.scaled_blocks(counts, 256)
+    plain, same = regression.weighted_blocks(counts, 256)
+    assert np.array_equal(idf, same)
+    got = _cells(scaled)
+    for b in plain.collect():
+        first, column, value, label = (np.frombuffer(b[c], k) for c, k in
+                                       (("first", np.int64), ("column", np.int32), ("value", float), ("label", float)))
+        for i, name in enumerate(label):
+            cells = got[int(name)]
+            own = slice(first[i], first[i + 1])
+            assert list(cells) == column[own].tolist()
+            assert np.allclose([w * idf[c] for c, w in cells.items()], value[own], atol=1e-12)
+    for b in scaled.collect():
+        assert len(b.value) == len(b.steps) // 4
+
+
+def test_few_columns_need_few_passes(spark):
+    """Many short rows in few columns that go together: a sample of 512 rows left more than a hundred passes."""
+    rng = np.random.default_rng(3)
+    common = rng.normal(size=(40, 300)) * np.geomspace(8, 0.01, 300)
+    rows = [(array.tolist(), float(y)) for array, y in zip(np.abs(rng.normal(size=(4000, 40)) @ common), rng.normal(size=4000))]
+    df = spark.createDataFrame(rows, "f array<double>, label_score double").withColumn("features", array_to_vector("f"))
+    blocks = materialize(sparse_ridge.pack(df, ["features"], 300), "blocks")
+    model = sparse_ridge.solve(blocks, 300, 1e-3, 1e-6)
+    assert model.gradient <= 1e-6 and model.passes <= 12
