@@ -62,7 +62,7 @@ def _documents(spark, sf):
 @query("tfidf_words", _tfidf_sql(_DOC_TOKENS, WORD_TERMS, "WITH") + _SUMMARY)
 def tfidf_words(spark, sf):
     docs = _documents(spark, sf)
-    return _summary(_weights(docs, features.word_counts(docs, "text_clean")))
+    return _summary(features.word_weights(docs, "text_clean"))
 
 
 @query(

@@ -3,7 +3,9 @@
 Terms stay rows: (example_id, term, weight). Nothing the size of the vocabulary
 or of the corpus is held by the driver or one task. The terms of a row are counted
 where the row is, on Arrow batches, so what is shuffled is one row per example and
-term, not one per occurrence; an idf that many rows need is broadcast.
+term, not one per occurrence; an idf that many rows need is broadcast. Where no two
+rows have one key, `word_weights` shuffles not even those: a task's pieces of the table
+ask for the frequencies of their terms, once a piece, and weigh their rows in place.
 """
 
 from __future__ import annotations
@@ -13,16 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions.text import char_ngrams, join_context, words
 from colloquy.operators.skew import lookup_join
-from colloquy.session import hot_rows, materialize
+from colloquy.plans import termhash
+from colloquy.session import hot_rows, materialize, shuffles_deleted, small_batches
 
 TOKENS = 1 << 20  # tokens of the rows counted at once, unless a single row has more
 COMMON_TERMS = 1 << 17  # terms whose idf is broadcast, at most
+BUCKET_TERMS = 1 << 21  # terms of all pieces that a bucket adds up, about
+TABLES_AT_ONCE = 4  # pieces that a task takes from the JVM at once
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]
 
@@ -161,3 +167,131 @@ def weigh(
     weighted = joined.select("example_id", "term", (F.col("tf") * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("example_id")))
     return weighted.select("example_id", "term", (F.lit(scale) * F.col("_w") / norm).alias("weight"))
+
+
+PIECES = "piece long, found long, keys binary, terms binary, cells binary"
+
+
+def _bytes_of(**columns: np.ndarray | pa.Array) -> bytes:
+    """Columns of one length, compressed."""
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _columns_of(data: bytes) -> list[pa.Array]:
+    return pa.ipc.open_stream(data).read_next_batch().columns
+
+
+def _rows_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of numbers and bytes."""
+    fields = [field.split() for field in schema.split(", ")]
+    kinds = [pa.int64() if kind == "long" else pa.binary() for _, kind in fields]
+    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
+
+
+def _as_pieces(examples: DataFrame, key: str, low: int, high: int) -> DataFrame:
+    """PIECES of (key, _tokens): some rows' keys, the terms they have, and row, term and count, as steps, of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for start, first, tokens in _pieces(batch.column(1)):
+                found = list(_counted(first, tokens, low, high))
+                if not found:
+                    continue
+                terms = pa.concat_arrays([f[3] for f in found])
+                before = np.cumsum([0, *(len(f[3]) for f in found)])
+                row = np.concatenate([f[0] for f in found])
+                term = np.concatenate([f[1] + b for f, b in zip(found, before)])
+                times = np.concatenate([f[2] for f in found])
+                steps = (np.diff(x, prepend=0).astype(np.int32) for x in (row, term))
+                cells = _bytes_of(row=next(steps), term=next(steps), times=times.astype(np.int32))
+                keys = _bytes_of(key=batch.column(0).slice(start, len(first) - 1))
+                yield _rows_of(PIECES, [(number, len(terms), keys, _bytes_of(term=terms), cells)])
+                number += 1
+
+    return examples.select(key, "_tokens").mapInArrow(run, PIECES)
+
+
+def _dealt(terms: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms' numbers in the order of their buckets, and where each bucket starts (one more entry than buckets)."""
+    text, first = termhash._bytes(terms)
+    bucket = termhash._hash(text, first[:-1], np.diff(first)) % np.uint32(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+ASKED = "bucket long, piece long, terms binary, rows binary"
+ANSWERS = "piece long, bucket long, df binary"
+
+
+def _frequencies(pieces: DataFrame, buckets: int) -> DataFrame:
+    """ANSWERS: of each piece and bucket how many rows of all pieces have each of its terms."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, terms_, cells in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                terms = _columns_of(terms_)[0]
+                rows = np.bincount(np.cumsum(_columns_of(cells)[1].to_numpy(), dtype=np.int64), minlength=len(terms))
+                order, start = _dealt(terms, buckets)
+                asked = []
+                for bucket in range(buckets):
+                    own = order[start[bucket] : start[bucket + 1]]
+                    if len(own):
+                        asked.append((bucket, piece, _bytes_of(term=terms.take(pa.array(own))), _bytes_of(rows=rows[own])))
+                yield _rows_of(ASKED, asked)
+
+    def answer(t: pa.Table) -> pa.Table:
+        terms = [_columns_of(b)[0] for b in t["terms"].to_pylist()]
+        rows = np.concatenate([_columns_of(b)[0].to_numpy() for b in t["rows"].to_pylist()])
+        code = pa.concat_arrays(terms).dictionary_encode().indices.to_numpy()
+        df = np.bincount(code, rows)[code].astype(np.int64)
+        cuts = np.cumsum([len(x) for x in terms])[:-1]
+        made = zip(t["piece"].to_pylist(), t["bucket"].to_pylist(), (_bytes_of(df=x) for x in np.split(df, cuts)))
+        return pa.Table.from_batches([_rows_of(ANSWERS, list(made))])
+
+    asked = pieces.select("piece", "terms", "cells").mapInArrow(ask, ASKED)
+    return asked.groupBy("bucket").applyInArrow(answer, ANSWERS)
+
+
+def word_weights(
+    examples: DataFrame, text: str, scale: float = 1.0, low: int = 1, high: int = 2, key: str = "example_id"
+) -> DataFrame:
+    """(key, term, weight): `weigh` of `word_counts` and `inverse_frequencies` over all `examples`.
+
+    Where a key repeats or is null, it is that. Else a row's terms stay where they are, packed closely, until the bucket
+    of each term has told in how many rows it is; then the row is weighed, whole. What is written and shuffled is each
+    term of a piece of rows once, and a few bytes for each row and term."""
+    spark = examples.sparkSession
+    own, rest = _by_key(examples.select(key, words(F.col(text)).alias("_tokens")), key)
+    n = examples.count()
+    if rest is not None:
+        counts = materialize(word_counts(examples, text, low, high), "term-counts", close=True)
+        idf = materialize(inverse_frequencies(counts, F.lit(n)), "idf", close=True)
+        return weigh(counts, idf, scale)
+    pieces = materialize(_as_pieces(own, key, low, high), "pieces", large_rows=True)
+    total = pieces.agg(F.sum("found")).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_TERMS))
+    with shuffles_deleted(spark), small_batches(spark, TABLES_AT_ONCE):
+        answers = materialize(_frequencies(pieces, buckets), "frequencies")
+    schema = T.StructType(
+        [examples.schema[key], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]
+    )
+
+    def weighed(piece: pa.Table, answered: pa.Table) -> pa.Table:
+        (keys,), (terms,), cells = (_columns_of(piece[c][0].as_py()) for c in ("keys", "terms", "cells"))
+        row, term, times = (c.to_numpy() for c in cells)
+        row, term = np.cumsum(row, dtype=np.int64), np.cumsum(term, dtype=np.int64)
+        by_bucket = sorted(zip(answered["bucket"].to_pylist(), answered["df"].to_pylist()))
+        df = np.empty(len(terms), np.int64)
+        df[_dealt(terms, buckets)[0]] = np.concatenate([_columns_of(b)[0].to_numpy() for _, b in by_bucket])
+        weight = times * (np.log((1 + n) / (1 + df)) + 1)[term]
+        norm = np.sqrt(np.bincount(row, weight * weight))
+        found = [keys.take(pa.array(row)), terms.take(pa.array(term)), pa.array(scale * weight / norm[row])]
+        return pa.Table.from_arrays(found, names=schema.names)
+
+    return pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(weighed, schema)

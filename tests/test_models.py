@@ -279,3 +279,24 @@ def test_few_columns_need_few_passes(spark):
     blocks = materialize(sparse_ridge.pack(df, ["features"], 300), "blocks")
     model = sparse_ridge.solve(blocks, 300, 1e-3, 1e-6)
     assert model.gradient <= 1e-6 and model.passes <= 12
+
+
+@pytest.mark.parametrize("tokens", [3, 1 << 20])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_word_weights_equal_joined_weights(spark, tokens, repeated, monkeypatch):
+    """Rows weighed where they are, in pieces whose terms are added up in buckets: the same rows as by joins. No row of a
+    term is shuffled unless keys repeat."""
+    monkeypatch.setattr(features, "TOKENS", tokens)
+    monkeypatch.setattr(features, "BUCKET_TERMS", 5)
+    rows = [(i, s) for i, s in enumerate(TEXTS)] + [(90, None), (91, ""), (92, "é漢 é漢 naïve")]
+    rows += [(1, "the dog again"), (None, "cat cat sat")] * repeated
+    df = spark.createDataFrame(rows, "example_id long, text string").repartition(3)
+    got = features.word_weights(df, "text", 0.5)
+    counts = features.word_counts(df, "text")
+    want = features.weigh(counts, features.inverse_frequencies(counts, F.lit(len(rows))), 0.5)
+    key = lambda r: (r.example_id is None, r.example_id, r.term)
+    mine, other = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    assert [key(r) for r in mine] == [key(r) for r in other] and got.schema == want.schema
+    assert np.allclose([r.weight for r in mine], [r.weight for r in other], atol=1e-12)
+    assert ("Window" in got._jdf.queryExecution().toString()) is repeated
+    assert features.word_weights(df.filter("example_id > 89 AND example_id < 92"), "text").count() == 0
