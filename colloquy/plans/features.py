@@ -10,6 +10,7 @@ ask for the frequencies of their terms, once a piece, and weigh their rows in pl
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ BUCKET_TERMS = 1 << 21  # terms of all pieces that a bucket adds up, about
 TABLES_AT_ONCE = 4  # pieces that a task takes from the JVM at once
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]
+Pair = tuple[np.ndarray, np.ndarray]  # numbers of the (n-1)-gram and the token that make an n-gram
 
 
 def _pieces(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
@@ -44,8 +46,16 @@ def _pieces(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
         row = stop
 
 
-def _counted(first: np.ndarray, tokens: pa.Array, low: int, high: int) -> Iterator[Found]:
-    """Row, number of the term and count, of each row and n-gram, and the terms by number; one item per n."""
+def _joined(terms: pa.Array, single: pa.Array, pair: Pair) -> pa.Array:
+    left, last = pair
+    return pc.binary_join_element_wise(terms.take(pa.array(left)), single.take(pa.array(last)), " ")
+
+
+def _counted(
+    first: np.ndarray, tokens: pa.Array, low: int, high: int, made: list[Pair] | None = None
+) -> Iterator[Found]:
+    """Row, number of the term and count, of each row and n-gram, and the terms by number; one item per n. `made` gets what
+    the terms of each n above one are joined from."""
     coded = tokens.dictionary_encode()
     single, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -58,8 +68,10 @@ def _counted(first: np.ndarray, tokens: pa.Array, low: int, high: int) -> Iterat
             whole = row[at + n - 1] == row[at]
             at, gram = at[whole], gram[whole]
             pairs, gram = np.unique(gram * len(single) + code[at + n - 1], return_inverse=True)
-            left, last = np.divmod(pairs, max(len(single), 1))
-            terms = pc.binary_join_element_wise(terms.take(pa.array(left)), single.take(pa.array(last)), " ")
+            pair = np.divmod(pairs, max(len(single), 1))
+            terms = _joined(terms, single, pair)
+            if made is not None:
+                made.append(pair)
         if n >= low and len(at):
             cells, times = np.unique(row[at] * len(terms) + gram, return_counts=True)
             yield cells // len(terms), cells % len(terms), times, terms
@@ -200,10 +212,10 @@ def _as_pieces(examples: DataFrame, key: str, low: int, high: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for start, first, tokens in _pieces(batch.column(1)):
-                found = list(_counted(first, tokens, low, high))
+                made: list[Pair] = []
+                found = list(_counted(first, tokens, low, high, made))
                 if not found:
                     continue
-                terms = pa.concat_arrays([f[3] for f in found])
                 before = np.cumsum([0, *(len(f[3]) for f in found)])
                 row = np.concatenate([f[0] for f in found])
                 term = np.concatenate([f[1] + b for f, b in zip(found, before)])
@@ -211,12 +223,27 @@ def _as_pieces(examples: DataFrame, key: str, low: int, high: int) -> DataFrame:
                 steps = (np.diff(x, prepend=0).astype(np.int32) for x in (row, term))
                 cells = _bytes_of(row=next(steps), term=next(steps), times=times.astype(np.int32))
                 keys = _bytes_of(key=batch.column(0).slice(start, len(first) - 1))
-                yield _rows_of(PIECES, [(number, len(terms), keys, _bytes_of(term=terms), cells)])
+                single = _bytes_of(term=tokens.dictionary_encode().dictionary)
+                pairs = [_bytes_of(left=np.diff(a, prepend=0).astype(np.int32), last=b.astype(np.int32)) for a, b in made]
+                yield _rows_of(PIECES, [(number, int(before[-1]), keys, pickle.dumps([single, *pairs]), cells)])
                 number += 1
 
     return examples.select(key, "_tokens").mapInArrow(run, PIECES)
 
 
+def _terms_of(data: bytes, low: int) -> pa.Array:
+    """The terms of a piece: tokens are kept, n-grams joined anew."""
+    single, *pairs = pickle.loads(data)
+    terms = single = _columns_of(single)[0]
+    found = [terms] if low == 1 else []
+    for n, pair in enumerate(pairs, 2):
+        left, last = (c.to_numpy() for c in _columns_of(pair))
+        terms = _joined(terms, single, (np.cumsum(left, dtype=np.int64), last))
+        if n >= low:
+            found.append(terms)
+    return pa.concat_arrays(found)
+
+
 def _dealt(terms: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The terms' numbers in the order of their buckets, and where each bucket starts (one more entry than buckets)."""
     text, first = termhash._bytes(terms)
@@ -229,13 +256,13 @@ ASKED = "bucket long, piece long, terms binary, rows binary"
 ANSWERS = "piece long, bucket long, df binary"
 
 
-def _frequencies(pieces: DataFrame, buckets: int) -> DataFrame:
+def _frequencies(pieces: DataFrame, buckets: int, low: int) -> DataFrame:
     """ANSWERS: of each piece and bucket how many rows of all pieces have each of its terms."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, terms_, cells in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                terms = _columns_of(terms_)[0]
+                terms = _terms_of(terms_, low)
                 rows = np.bincount(np.cumsum(_columns_of(cells)[1].to_numpy(), dtype=np.int64), minlength=len(terms))
                 order, start = _dealt(terms, buckets)
                 asked = []
@@ -277,13 +304,14 @@ def word_weights(
     total = pieces.agg(F.sum("found")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_TERMS))
     with shuffles_deleted(spark), small_batches(spark, TABLES_AT_ONCE):
-        answers = materialize(_frequencies(pieces, buckets), "frequencies")
+        answers = materialize(_frequencies(pieces, buckets, low), "frequencies")
     schema = T.StructType(
         [examples.schema[key], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]
     )
 
     def weighed(piece: pa.Table, answered: pa.Table) -> pa.Table:
-        (keys,), (terms,), cells = (_columns_of(piece[c][0].as_py()) for c in ("keys", "terms", "cells"))
+        (keys,), cells = (_columns_of(piece[c][0].as_py()) for c in ("keys", "cells"))
+        terms = _terms_of(piece["terms"][0].as_py(), low)
         row, term, times = (c.to_numpy() for c in cells)
         row, term = np.cumsum(row, dtype=np.int64), np.cumsum(term, dtype=np.int64)
         by_bucket = sorted(zip(answered["bucket"].to_pylist(), answered["df"].to_pylist()))
